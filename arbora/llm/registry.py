@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arbora.llm.bpe import op5_bpe
 from arbora.llm.sharding import op4_sharding
+from arbora.llm.simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding,)}
+    return {f.__name__: f for f in (op4_sharding, op5_bpe, op6_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from arbora.llm.bpe import op5_bpe
+from arbora.llm.language import op8_language
+from arbora.llm.quality import OP3_SQL, op3_quality
 from arbora.llm.sharding import op4_sharding
 from arbora.llm.simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op5_bpe, op6_simhash)}
+    return {f.__name__: f for f in (op3_quality, op4_sharding, op5_bpe, op6_simhash, op8_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality": OP3_SQL}

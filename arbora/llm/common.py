@@ -69,7 +69,7 @@ def numbered(df: DataFrame, *order: str, name: str = "row_number", label: str =
 
 def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most ``buckets`` ascending values of the integer column ``key`` that cut its rows into like shares; the first is the minimum."""
-    steps = F.expr(f"transform(sequence(0, {buckets - 1}), i -> i / {buckets}D)")
+    steps = [i / buckets for i in range(buckets)]
     found = df.agg(F.percentile_approx(key, steps, 10 * buckets + 1000).alias("cuts"), F.min(key).alias("least")).first()
     return sorted({*(found["cuts"] or []), *([found["least"]] if found["least"] is not None else [])})
 

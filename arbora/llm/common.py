@@ -87,9 +87,16 @@ def with_bucket(df: DataFrame, key: str, bounds: list[int], name: str) -> DataFr
     return df
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches cut to ``rows`` rows, so that what Python makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-__all__ = ["SPACES", "Window", "cut", "documents", "durable", "let", "numbered", "range_bounds", "shared_dir", "tasks", "with_bucket"]
+__all__ = ["SPACES", "Window", "cut", "documents", "durable", "let", "numbered", "range_bounds", "shared_dir", "slices", "tasks", "with_bucket"]

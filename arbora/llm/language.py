@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import documents
+from arbora.llm.common import documents, slices
 
 PER_LANGUAGE = 300
 LANGUAGES = 64
@@ -201,7 +201,7 @@ def identify(df: DataFrame, net: ByteGRU | None, text: str = "text") -> DataFram
     kept = [f for f in df.schema if f.name not in (text, "lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             texts = batch.column(text).to_pylist()
             known = [net is not None and x is not None and _LETTER.search(x) is not None for x in texts]
             label, score = [UNDEFINED] * len(texts), np.zeros(len(texts))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import cut, documents, durable, tasks
+from arbora.llm.common import cut, documents, durable, slices, tasks
 
 BITS = 64
 SEED = 42
@@ -68,7 +68,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", width: int = 4, name: st
     """``df`` with ``name`` bigint: the whole text's 64 bits as a signed number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(x, width) for x in batch.column(text).to_pylist()], np.uint64).view(np.int64)
             kept = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.int64())], names=[*kept, name])

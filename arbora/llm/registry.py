@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from arbora.llm.backoff import op2_backoff
 from arbora.llm.bpe import op5_bpe
 from arbora.llm.fingerprints import op1_fingerprints
 from arbora.llm.language import op8_language
@@ -18,7 +19,7 @@ from arbora.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_quality, op4_sharding, op5_bpe, op6_simhash, op7_repair, op8_language, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_backoff, op3_quality, op4_sharding, op5_bpe, op6_simhash, op7_repair, op8_language, op9_toxicity, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

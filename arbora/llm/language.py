@@ -193,12 +193,12 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
     return net
 
 
-def identify(df: DataFrame, net: ByteGRU | None, text: str = "text") -> DataFrame:
-    """``df`` without ``text``, with ``lang_pred`` and ``score`` (the mean probability of the predicted label over all bytes).
+def identify(df: DataFrame, net: ByteGRU | None, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``df``, without ``text`` unless ``keep_text``, with ``lang_pred`` and ``score`` (the mean probability of the predicted label over all bytes).
 
     A null text, one without a letter and any text where nothing was learned get ``und`` and 0.
     """
-    kept = [f for f in df.schema if f.name not in (text, "lang_pred", "score")]
+    kept = [f for f in df.schema if f.name not in ("lang_pred", "score") and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import documents
+from arbora.llm.common import documents, slices
 
 CACHE = 300_000
 SHORT = 64
@@ -158,7 +158,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             found = [bpe.encode(x or "") for x in batch.column(text).to_pylist()]
             offsets = np.zeros(len(found) + 1, np.int32)
             np.cumsum([len(x) for x in found], out=offsets[1:])
@@ -175,8 +175,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
-            yield _extended(batch, text, pa.array([bpe.decode(x or ()) for x in batch.column(ids).to_pylist()], pa.string()))
+        for batch in slices(batches):
+            # One text's ids at a time become Python numbers.
+            yield _extended(batch, text, pa.array([bpe.decode(x.values.to_pylist() if x.is_valid else ()) for x in batch.column(ids)], pa.string()))
 
     rest = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text]
     df = df.drop(text)

@@ -30,8 +30,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents by the quality rules; those kept lose their failing lines."""
-    kept = quality.clean_lines(docs).filter("kept")
-    kept = kept.withColumn("text", F.col("cleaned"))
+    judged = quality.clean_lines(docs)
+    # A filter would be pushed below the rules and make them run twice for each text; a generator is not.
+    verdict = F.filter(F.array(F.struct("kept", "cleaned")), lambda v: v["kept"])
+    kept = judged.select(*[c for c in docs.columns if c not in ("text", "n_chars")], F.explode(verdict).alias("__v")).withColumn("text", F.col("__v.cleaned"))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

@@ -60,10 +60,14 @@ class WordEncoder:
         self.symbols = byte_symbols()
         self.pieces, self.plain_pieces, self.not_plain = regex.compile(_PATTERN), re.compile(_PLAIN_PATTERN), re.compile("[^\x00-\u012f\u0131-\u017f]")
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _new(self, piece: str) -> bytes:
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
+        if len(self.seen) >= CACHE:  # frequent pieces come back from the last generation
+            self.before, self.seen = self.seen, {}
+        if piece in self.before:
+            found = self.seen[piece] = self.before[piece]
+            return found
         mapped = "".join(map(self.symbols.__getitem__, piece.encode("utf-8", "surrogatepass")))
         found = self.seen[piece] = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
         return found
@@ -73,8 +77,9 @@ class WordEncoder:
             pieces = self.pieces.findall(self.normalizer.normalize_str(text) if self.normalizer is not None else text)
         else:  # characters that normalisation only lower-cases, and white space, which no piece holds
             pieces = self.plain_pieces.findall(text.lower())
-        get = self.seen.get
-        return b"".join([get(p) or self._new(p) for p in pieces])
+        seen = self.seen
+        found = [seen.get(p) or self._new(p) for p in pieces]
+        return b"".join(found)
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as native unsigned 32-bit numbers."""
@@ -223,7 +228,9 @@ def read_ids(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
             shard = Shard(row["rules"], row["lengths"], row["symbols"], row["terminals"])
             sizes = np.array(row["sizes"], np.int64)
             at = np.cumsum(sizes) - sizes
-            crc = [zlib.crc32(shard.ids(a, n).tobytes()) for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
+            # All documents of a shard are wanted: one expansion of the whole is cheaper than one for each.
+            ids = shard.ids(0, int(sizes.sum()))
+            crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
             n = len(sizes)
             columns = [pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), batch.column("keys")[0].values, pa.array(at), pa.array(sizes), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "seq", key, "at", "n_tokens", "ids_crc32"])

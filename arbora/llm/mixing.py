@@ -30,6 +30,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 GRID = 100
 PULL = 0.001
 STEPS = 100
+#: Cells of equal posterior that one task of a step takes.
+CELLS_IN_TASK = 50_000
 #: Words that the classifier weighs, at most, and the least number of sampled documents that hold such a word.
 EVIDENCE_WORDS, EVIDENCE_DOCS = 2000, 4
 #: Target shares of tokens.
@@ -182,7 +184,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
     history: list[np.ndarray] = []
     if len(model.domains) > 1 and wanted.sum() > 0:
         cells = durable(scored.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")), "mixing-cells")
-        history, _ = fit_rates(cells, wanted / wanted.sum())
+        # Each step is a pass over the cells: no more tasks than their number asks for.
+        history, _ = fit_rates(cells.coalesce(max(1, math.ceil(cells.count() / CELLS_IN_TASK))), wanted / wanted.sum())
 
     @F.pandas_udf("double")
     def rate(cell: pd.Series) -> pd.Series:

@@ -161,13 +161,13 @@ def fit_rates(cells: DataFrame, targets: np.ndarray, steps: int = STEPS, toleran
     return history, done
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "domain", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_tokens`` (words), ``domain_pred``, ``posterior`` (map), ``rate`` and ``copies`` for each row of ``docs``.
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "domain", key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``carry``, ``n_tokens`` (words), ``domain_pred``, ``posterior`` (map), ``rate`` and ``copies`` for each row of ``docs``.
 
     A null text counts as empty.  Domains without labelled documents or without a target are left out of the fit, and the other targets
     scaled to 1; with fewer than two domains every rate is 1.  Texts are read once; the fit runs on token sums of cells.
     """
-    model = learn(docs, labels, domain)
+    model, kept = learn(docs, labels, domain), (key, *carry)
     wanted = np.array([targets.get(d, 0.0) for d in model.domains])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +177,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
                 n, cell = model.posteriors(texts)
             else:
                 n, cell = [len(t.split()) for t in texts], np.full((len(texts), len(model.domains)), GRID, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(cell.tolist(), pa.list_(pa.int64()))], names=[key, "n_tokens", "cell"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(cell.tolist(), pa.list_(pa.int64()))], names=[*kept, "n_tokens", "cell"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    scored = durable(docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, cell array<bigint>"), "mixing")
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    scored = durable(docs.select(*kept, text).mapInArrow(run, f"{schema}, n_tokens bigint, cell array<bigint>"), "mixing")
     history: list[np.ndarray] = []
     if len(model.domains) > 1 and wanted.sum() > 0:
         cells = durable(scored.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")), "mixing-cells")
@@ -195,7 +195,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
     chance = F.pmod(F.xxhash64(F.col(key), F.lit("mixing")), F.lit(1 << 30)) / (1 << 30)
     out = scored.withColumn("rate", rate("cell"))
     return out.select(
-        key,
+        *kept,
         "n_tokens",
         F.get(names, F.array_position("cell", F.array_max("cell")).cast("int") - 1).alias("domain_pred"),
         F.map_from_arrays(names, F.transform("cell", lambda c: c / GRID)).alias("posterior"),

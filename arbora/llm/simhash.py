@@ -214,20 +214,20 @@ def components(pairs: DataFrame) -> DataFrame:
         mark = now
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """``key``, ``fingerprint`` bigint and ``component_id``: the least key that the row reaches over links, itself included.
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the columns ``carry``, ``fingerprint`` bigint and ``component_id``: the least key that the row reaches over links, itself included.
 
     Exact and repeated texts share a fingerprint and so a component; null and wordless texts have fingerprint 0 and link like any other.
     An empty table gives an empty result.  Only keys and 8-byte codes move, never texts.
     """
-    prints = durable(with_fingerprint(df.select(key, text), text, width), "simhash")
+    prints = durable(with_fingerprint(df.select(key, *carry, text), text, width), "simhash")
     # Per code, however many rows share it, one row from here on.
     codes = durable(prints.groupBy("fingerprint").agg(F.min(key).alias("least")), "simhash-codes")
     roots = components(links(codes.select("fingerprint"), radius))
     rooted = codes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(named, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(key, "fingerprint", "component_id")
+    return prints.join(named, "fingerprint").select(key, *carry, "fingerprint", "component_id")
 
 
 def hex64(column: str) -> Column:

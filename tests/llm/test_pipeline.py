@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from arbora.llm import simhash
+from arbora.llm import mixing, simhash
 
 
 def test_stages(spark, odd):
@@ -19,5 +19,19 @@ def test_stages(spark, odd):
     assert {r["round_trip"] for r in tokens.select("round_trip").collect()} == {True}
 
 
+def test_shared_ids(spark, odd):
+    """Different texts under one ``doc_id``: none is lost to another's group, and none is multiplied."""
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    # 27 copies 24; the texts of 0 and 3 under one id are of two groups.
+    renamed = docs.filter("doc_id in (0, 3, 24, 27)").selectExpr("if(doc_id in (3, 27), 100, doc_id) doc_id", *[c for c in docs.columns if c != "doc_id"])
+    kept = corpus_pipeline.drop_near_duplicates(spark, renamed, odd)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(0, texts[0]), (24, texts[24]), (100, texts[3])])
+    shared = docs.filter("doc_id in (0, 3, 33)").withColumn("doc_id", docs["doc_id"] * 0)
+    mixed = [r["text"] for r in corpus_pipeline.mix_sources(spark, shared, odd).collect()]
+    rates = {r["__text"]: r["copies"] for r in mixing.mix(shared.selectExpr("*", "text as __text"), mixing.quality_domains(spark.read.parquet(f"{odd}/labels.parquet")), mixing.TARGETS, carry=("__text",)).collect()}
+    assert {t: mixed.count(t) for t in rates} == rates
+
+
 def test_empty(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).count() == 0

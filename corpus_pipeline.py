@@ -38,20 +38,31 @@ def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the least ``doc_id`` stays; rows repeated in ``doc_id`` and text stay once."""
+    """Of each component of near duplicates one document stays: the least ``doc_id``, of texts that share it the one with the least hash.
+
+    Rows are told apart by ``doc_id`` and text; those equal in both stay once.  Rows without ``doc_id`` stay, once for each text.
+    """
     ship(spark)
-    gone = simhash.near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").withColumn("__text", F.xxhash64("text"))
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    found = simhash.near_duplicates(marked, carry=("__text",)).filter("doc_id = component_id")
+    stay = found.groupBy("doc_id").agg(F.min("__text").alias("__text")).withColumn("__stays", F.lit(True))
+    # Equal keys in the join and the distinct: one exchange.
+    kept = marked.join(stay, ["doc_id", "__text"], "left").filter("doc_id is null or __stays")
     return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its rate says: a rate of 1 or more never drops it.  Rows without ``doc_id`` stay once."""
+    """Each document as many times as its rate says: a rate of 1 or more never drops it.  Rows without ``doc_id`` stay once.
+
+    Rows that share a ``doc_id`` are told apart by their texts, so repeated rows are not multiplied with each other.
+    """
     ship(spark)
     labels = mixing.quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    copies = mixing.mix(docs, labels, mixing.TARGETS).filter("doc_id is not null").select("doc_id", "copies")
-    both = docs.join(copies, "doc_id", "left").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("copies", F.lit(1)))))
-    return both.select(*docs.columns)
+    marked = docs.withColumn("__text", F.xxhash64("text"))
+    copies = mixing.mix(marked, labels, mixing.TARGETS, carry=("__text",)).filter("doc_id is not null").select("doc_id", "__text", "copies")
+    # Equal keys have equal copies; the join needs the same exchange as the distinct.
+    both = marked.join(copies.dropDuplicates(["doc_id", "__text"]), ["doc_id", "__text"], "left")
+    return both.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.coalesce("copies", F.lit(1))))).select(*docs.columns)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

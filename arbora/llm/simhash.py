@@ -38,6 +38,8 @@ LEAF, FAN = 16, 8
 BLOCK = 1_000_000
 #: Rows of the candidate table in a task.
 TASK_ROWS = 250_000
+#: Parts that the rows of a key, root or fingerprint are dealt into.
+SALTS = 64
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -193,6 +195,18 @@ def links(codes: DataFrame, radius: int = 4, name: str = "fingerprint") -> DataF
     return keyed.repartition(parts, "choice", "bits", "low", "high").mapInPandas(search, "a bigint, b bigint")
 
 
+def with_least(rows: DataFrame, key: str, value: str, by: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the least ``value`` among the rows of their ``key``, null if it has none.
+
+    A key may hold a third of all rows: both the minimum and the join back are dealt by the key and a salt, a hash of ``by``.  The salts
+    that a key has, ``SALTS`` at most, travel with its minimum, so each salted group meets one row.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    least = salted.groupBy(key, "__salt").agg(F.min(value).alias(name)).groupBy(key).agg(F.min(name).alias(name), F.collect_list("__salt").alias("__salts"))
+    least = least.select(key, name, F.explode("__salts").alias("__salt"))
+    return salted.join(least, [key, "__salt"]).drop("__salt")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """``node``, ``root``: the least node that each node of the links ``a``, ``b`` reaches.  Nodes without links are left away.
 
@@ -203,10 +217,8 @@ def components(pairs: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        large = with_least(both, "a", "b", "b", "m").filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = with_least(large, "a", "b", "b", "m").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         edges = cut(small.select("e.a", "e.b").filter("a <> b").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == mark:
@@ -220,14 +232,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     Exact and repeated texts share a fingerprint and so a component; null and wordless texts have fingerprint 0 and link like any other.
     An empty table gives an empty result.  Only keys and 8-byte codes move, never texts.
     """
-    prints = durable(with_fingerprint(df.select(key, *carry, text), text, width), "simhash")
+    prints = durable(with_fingerprint(df.select(key, *carry, text), text, width), "simhash").withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     # Per code, however many rows share it, one row from here on.
-    codes = durable(prints.groupBy("fingerprint").agg(F.min(key).alias("least")), "simhash-codes")
+    by_salt = prints.groupBy("fingerprint", "salt").agg(F.min(key).alias("least"))
+    codes = durable(by_salt.groupBy("fingerprint").agg(F.min("least").alias("least"), F.collect_list("salt").alias("salts")), "simhash-codes")
     roots = components(links(codes.select("fingerprint"), radius))
-    rooted = codes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select(key, *carry, "fingerprint", "component_id")
+    rooted = codes.join(roots, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "least", "salts", F.coalesce("root", "fingerprint").alias("root"))
+    named = with_least(rooted, "root", "least", "fingerprint", "component_id")
+    # Copies share a fingerprint, perhaps a third of all rows: a code meets them by salt.
+    named = named.select("fingerprint", "component_id", F.explode("salts").alias("salt"))
+    return prints.join(named, ["fingerprint", "salt"]).select(key, *carry, "fingerprint", "component_id")
 
 
 def hex64(column: str) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from arbora.llm import mixing, simhash
+from arbora.llm import mixing, nearcopies, simhash
 
 
 def test_stages(spark, odd):
@@ -33,5 +35,36 @@ def test_shared_ids(spark, odd):
     assert {t: mixed.count(t) for t in rates} == rates
 
 
+def test_near_copies_of_four_fifths(spark, odd):
+    """Edited copies on both sides of 0.8: components are those of all pairs' exact similarity."""
+    rng, texts = random.Random(4), []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        for edits in (2, 4, 5, 6, 9):
+            texts.append(" ".join(f"x{rng.randrange(5000)}" if i in {199 * k // edits for k in range(edits)} else w for i, w in enumerate(words)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if len(a & b) >= 0.8 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    assert 12 < len(set(root)) < len(texts) - 12
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "", 0.5, 1, 2) for i, t in enumerate(texts)], spark.read.parquet(f"{odd}/documents.parquet").schema)
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, odd).collect()} == set(root)
+
+
+def test_links_between_components_of_a_bucket():
+    """What sizes and sketches rule out is below 0.8; nothing else is."""
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(120)]
+    sets = [nearcopies.np.unique(nearcopies.np.array([x if rng.random() > cut else rng.getrandbits(64) for x in base], "u8")) for cut in (0.02, 0.05, 0.1, 0.15) for _ in range(25)]
+    size, sketches = nearcopies.np.array([len(s) for s in sets]), nearcopies.np.array([nearcopies.sketch(s) for s in sets])
+    got = {(int(a), int(b)) for x, y in nearcopies.possible(nearcopies.np.arange(len(sets)), size, sketches, 0.8) for a, b in zip(x, y, strict=True)}
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if nearcopies.alike(sets[i], sets[j]) >= 0.8}
+    assert near and near <= got and len(got) < len(sets) * (len(sets) - 1) // 2
+
+
 def test_empty(spark, nothing):
     assert corpus_pipeline.run(spark, nothing).count() == 0

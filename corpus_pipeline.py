@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import bpe, common, language, mixing, nearcopies, quality, simhash
+from arbora.llm import bpe, common, language, mixing, nearcopies, quality
 from arbora.session import ship
 
 #: Documents whose predicted language has a lower probability are rejected, as are those without a letter.
@@ -38,15 +38,16 @@ def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates one document stays: the least ``doc_id``, of texts that share it the one with the least hash.
+    """Of each component of near duplicates one document stays: the least ``doc_id``, of its texts that share it the one with the least hash.
 
     Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
     Rows are told apart by ``doc_id`` and text; those equal in both stay once.  Rows without ``doc_id`` stay, once for each text.
     """
     ship(spark)
     marked = docs.withColumn("__text", F.xxhash64("text"))
-    found = simhash.with_least(nearcopies.near_copies(marked, carry=("__text",)), "root", "doc_id", "__text", "component_id").filter("doc_id = component_id")
-    stay = found.groupBy("doc_id").agg(F.min("__text").alias("__text")).withColumn("__stays", F.lit(True))
+    found = nearcopies.near_copies(marked, carry=("__text",)).filter("doc_id is not null")
+    # Per component, not per doc_id: unlike texts may share the least one. A text is of one component, so no other's row is meant.
+    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "__text")).alias("__first")).select("__first.*").withColumn("__stays", F.lit(True))
     # Equal keys in the join and the distinct: one exchange.
     kept = marked.join(stay, ["doc_id", "__text"], "left").filter("doc_id is null or __stays")
     return kept.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)

@@ -35,6 +35,15 @@ def test_shared_ids(spark, odd):
     assert {t: mixed.count(t) for t in rates} == rates
 
 
+def test_unlike_texts_of_one_id(spark, odd):
+    """Each component keeps a document, though the least ``doc_id`` of several is the same; a copy under a greater one goes."""
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    shared = docs.filter("doc_id in (0, 3, 33, 24, 27)").selectExpr("if(doc_id = 27, 100, 5) doc_id", *[c for c in docs.columns if c != "doc_id"])
+    kept = corpus_pipeline.drop_near_duplicates(spark, shared, odd)
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted((5, texts[k]) for k in (0, 3, 33, 24))
+
+
 def test_near_copies_of_four_fifths(spark, odd):
     """Edited copies on both sides of 0.8: components are those of all pairs' exact similarity."""
     rng, texts = random.Random(4), []

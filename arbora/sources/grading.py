@@ -34,7 +34,7 @@ def assessed(submissions: DataFrame, column: str = "assessment") -> DataFrame:
 
 
 def archive_members(name: str, content: bytes, depth: int = 8) -> Iterator[tuple[str, str, bytes | None, str | None]]:
-    """(path, kind, content, error) of what an archive keeps, archives within it included; a broken part is an error row and stops nothing else."""
+    """(path, kind, content, error) of what an archive keeps, archives within it included; a broken part and an archive nested over ``depth`` deep is an error row and stops nothing else."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             for info in z.infolist():
@@ -45,6 +45,8 @@ def archive_members(name: str, content: bytes, depth: int = 8) -> Iterator[tuple
                 try:
                     if lower.endswith(".zip") and depth:
                         yield from archive_members(path, z.read(info), depth - 1)
+                    elif lower.endswith(".zip"):
+                        yield path, "error", None, "archives are nested too deep"
                     elif lower.endswith(TEXT_KINDS):
                         yield path, "text", z.read(info), None
                     elif lower.endswith(VERBATIM_KINDS):

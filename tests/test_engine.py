@@ -97,6 +97,19 @@ def test_solver_formats(spark):
     assert {r["graph"]: r["containing"] for r in within.collect()} == {0: [3, 5], 1: [4]}
 
 
+def test_archive_nested_too_deep():
+    """A row says that something was left out."""
+    content = b"void setup() {}"
+    for k in range(11):
+        into = io.BytesIO()
+        with zipfile.ZipFile(into, "w") as z:
+            z.writestr("a.pde" if not k else "in.zip", content)
+        content = into.getvalue()
+    (row,) = grading.archive_members("out.zip", content)
+    assert row[0] == "out.zip" + 9 * "/in.zip" and row[1:3] == ("error", None)
+    assert [r[1] for r in grading.archive_members("out.zip", content, depth=10)] == ["text"]
+
+
 def test_archives(spark, tmp_path):
     inner = io.BytesIO()
     with zipfile.ZipFile(inner, "w") as z:

@@ -2,7 +2,7 @@
 
 A forward and a backward GRU read the UTF-8 bytes in windows; a softmax over both states labels every byte; a document's probabilities
 are the mean over all its bytes.  The network is trained here, in numpy, by backpropagation through time, on a bounded sample of
-labelled rows (about ``PER_LANGUAGE`` of each of the ``LANGUAGES`` most frequent labels, picked by hash).  Prediction reads whole texts.
+labelled rows (about ``PER_LANGUAGE`` of each label, picked by hash; fewer where labels are so many that this passes ``SAMPLE_ROWS``, but one at least).  Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from arbora.llm.common import documents, slices
 
 PER_LANGUAGE = 300
-LANGUAGES = 64
+SAMPLE_ROWS = 64 * PER_LANGUAGE
 #: Bytes of a sampled text that training reads.
 SAMPLE_BYTES = 768
 HIDDEN = 6
@@ -171,25 +171,30 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> ByteGRU | None:
-    """A network for the labels of ``labelled``; None where no row has both a label and a text with letters.
+    """A network for all labels of ``labelled``; None where no row has both a label and a text with letters.
 
     The sample is picked by a hash of the key against a share for each label, so nothing is shuffled for it but the counts.
     """
     rows = labelled.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES).collect()
+    counts = rows.groupBy(label).count().collect()
     if not counts:
         return None
-    share = F.coalesce(*[F.when(F.col(label) == r[label], F.lit(min(1.0, PER_LANGUAGE / r["count"]))) for r in counts])
+    per = min(PER_LANGUAGE, SAMPLE_ROWS / len(counts))
+    shares = labelled.sparkSession.createDataFrame([(r[label], min(1.0, per / r["count"])) for r in counts], "__label string, __share double")
     chance = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / (1 << 30)
-    picked = rows.filter(chance < share).select(key, label, F.substring(text, 1, 4 * SAMPLE_BYTES).alias("t")).orderBy(key).collect()
-    picked = picked or rows.orderBy(key).select(key, label, F.substring(text, 1, 4 * SAMPLE_BYTES).alias("t")).limit(PER_LANGUAGE).collect()
-    classes = sorted({r[label] for r in picked})
+    rows = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), chance.alias("chance"), F.substring(text, 1, 4 * SAMPLE_BYTES).alias("t"))
+    picked = rows.join(F.broadcast(shares), F.col("label") == F.col("__label")).filter("chance < __share").select("key", "label", "t").orderBy("key").collect()
+    # No label is lost to chance.
+    if missing := sorted({r[label] for r in counts} - {r["label"] for r in picked}):
+        rest = rows.join(F.broadcast(labelled.sparkSession.createDataFrame([(x,) for x in missing], "label string")), "label")
+        picked += rest.groupBy("label").agg(F.min(F.struct("chance", "key", "t")).alias("r")).select("r.key", "label", "r.t").orderBy("label").collect()
+    classes = sorted({r["label"] for r in picked})
     texts = [r["t"].encode("utf-8", "surrogatepass") for r in picked]
     # Another place in each text: the sample sees more than beginnings.
     texts = [t[(a := (37 * k) % max(1, len(t) - SAMPLE_BYTES)) : a + SAMPLE_BYTES] for k, t in enumerate(texts)]
     net = ByteGRU(classes)
     if len(classes) > 1:
-        net.train(texts, np.array([classes.index(r[label]) for r in picked]))
+        net.train(texts, np.array([classes.index(r["label"]) for r in picked]))
     return net
 
 

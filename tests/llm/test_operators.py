@@ -190,6 +190,16 @@ def test_op8_language(spark, odd, rows):
     assert np.mean([got[k]["lang_pred"] == g for k, g in clean]) > 0.9
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    """Also the rarest of many, in a sample that stays bounded."""
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 140, raising=False)
+    sizes = []
+    monkeypatch.setattr(language.ByteGRU, "train", lambda self, texts, labels: sizes.append(len(texts)))
+    labels = [f"l{k:02}" for k in range(70) for _ in range(80 if k else 1)]
+    df = spark.createDataFrame([(i, f"word {x}", x) for i, x in enumerate(labels)], "doc_id bigint, text string, lang string")
+    assert language.learn(df).classes == sorted(set(labels)) and 70 <= sizes[0] < 250
+
+
 def test_gru_gradients():
     net = language.ByteGRU(["a", "b"], hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}

@@ -7,12 +7,17 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
+    """Send this package to the executors, once for each Spark context, and keep what passes to Python at a time small where the session doesn't say how large it may be."""
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH_BYTES) and not getattr(spark, "_arbora_batches", False):
+        spark.conf.set(BATCH_BYTES, "8m")
+        spark._arbora_batches = True
     if getattr(context, "_arbora_shipped", False):
         return
     top = Path(__file__).resolve().parent
@@ -21,18 +26,3 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(top, os.path.join(staged, top.name), ignore=shutil.ignore_patterns("__pycache__"))
     context.addPyFile(shutil.make_archive(os.path.join(folder, "arbora"), "zip", staged))
     context._arbora_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary one."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir() or tempfile.mkdtemp(prefix="arbora-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` behind a reliable checkpoint, for loops that would let lineage grow."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

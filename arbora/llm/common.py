@@ -1,92 +1,20 @@
-"""What several operators share: the shared folder, durable tables, range buckets and global row numbers."""
+"""What several operators share: tables in the shared folder, whole texts in Arrow batches, columns computed once."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.storage import cut, durable, forget, new_path, numbered, release, shared_dir, tasks
+
 #: The word separators that the operators' contracts fix: U+0020 and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary one."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="arbora-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: its lineage ends there, on disks that no executor owns."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` behind a reliable checkpoint: for small tables that a loop rewrites."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def numbered(df: DataFrame, *order: str, name: str = "row_number", label: str = "numbered") -> DataFrame:
-    """``df`` with a gapless global number from 0 in ascending ``order`` (nulls first).
-
-    Rows are range-partitioned and sorted once and written; a row's number is its place in its partition plus the rows of the
-    partitions before it.  Only one count per partition reaches the driver.  Rows equal in ``order`` may be numbered either way:
-    add columns to ``order`` until what remains equal is interchangeable.
-    """
-    spark = df.sparkSession
-    keys = [F.col(c).asc_nulls_first() for c in order]
-    placed = df.repartitionByRange(tasks(spark), *keys).sortWithinPartitions(*keys)
-    # The high bits of the id are the partition, the low 33 bits the place in it.
-    placed = durable(placed.withColumn("__at", F.monotonically_increasing_id()), label)
-    part = F.shiftright("__at", 33).cast("int")
-    counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    offsets = F.split(F.lit(",".join(map(str, before or [0]))), ",").cast("array<bigint>")
-    number = F.element_at(offsets, part + 1) + F.col("__at").bitwiseAND((1 << 33) - 1)
-    return placed.withColumn(name, number).drop("__at")
-
-
-def range_bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
-    """At most ``buckets`` ascending values of the integer column ``key`` that cut its rows into like shares; the first is the minimum."""
-    steps = [i / buckets for i in range(buckets)]
-    found = df.agg(F.percentile_approx(key, steps, 10 * buckets + 1000).alias("cuts"), F.min(key).alias("least")).first()
-    return sorted({*(found["cuts"] or []), *([found["least"]] if found["least"] is not None else [])})
-
-
-def with_bucket(df: DataFrame, key: str, bounds: list[int], name: str) -> DataFrame:
-    """``name``: the index of the last of ``bounds`` that is not above ``key`` (0 for null), by binary search in a literal array."""
-    if not bounds:
-        return df.withColumn(name, F.lit(0))
-    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    df, step = df.withColumn(name, F.lit(0)), 1 << max(0, len(bounds) - 1).bit_length()
-    while step >= 1:
-        to = F.col(name) + step
-        fits = (to < len(bounds)) & (F.get(array, to) <= F.col(key))
-        df, step = df.withColumn(name, F.when(fits, to).otherwise(F.col(name))), step // 2
-    return df
-
-
 def slices(batches, rows: int = 256):
     """Arrow batches cut to ``rows`` rows, so that what Python makes of one stays small."""
     for batch in batches:
@@ -99,4 +27,4 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-__all__ = ["SPACES", "Window", "cut", "documents", "durable", "let", "numbered", "range_bounds", "shared_dir", "slices", "tasks", "with_bucket"]
+__all__ = ["SPACES", "cut", "documents", "durable", "forget", "let", "new_path", "numbered", "release", "shared_dir", "slices", "tasks"]

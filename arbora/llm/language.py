@@ -2,20 +2,26 @@
 
 A forward and a backward GRU read the UTF-8 bytes in windows; a softmax over both states labels every byte; a document's probabilities
 are the mean over all its bytes.  The network is trained here, in numpy, by backpropagation through time, on a bounded sample of
-labelled rows (about ``PER_LANGUAGE`` of each label, picked by hash; fewer where labels are so many that this passes ``SAMPLE_ROWS``, but one at least).  Prediction reads whole texts.
+labelled rows (about ``PER_LANGUAGE`` of each label, picked by hash; fewer where labels are so many that this passes ``SAMPLE_ROWS``, but one at least).
+Of a sampled text it reads ``SAMPLE_BYTES`` bytes from a place picked by hash.  Prediction reads whole texts, in windows of ``WINDOW`` bytes at
+whose bounds the states begin anew.
+
+A letter is what Unicode calls one (categories L*).  Repeated rows are predicted alike and count once in the sample; an empty table gives an
+empty result; columns called ``lang_pred`` and ``score`` are replaced, all others stay.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm.common import documents, slices
+from arbora.llm.sample import window_of
 
 PER_LANGUAGE = 300
 SAMPLE_ROWS = 64 * PER_LANGUAGE
@@ -24,7 +30,7 @@ SAMPLE_BYTES = 768
 HIDDEN = 6
 WINDOW = 96
 UNDEFINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -173,7 +179,7 @@ def held_out(key: str = "doc_id") -> Column:
 def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang") -> ByteGRU | None:
     """A network for all labels of ``labelled``; None where no row has both a label and a text with letters.
 
-    The sample is picked by a hash of the key against a share for each label, so nothing is shuffled for it but the counts.
+    The sample is picked by a hash of key and text against a share for each label, so nothing is shuffled for it but the counts and itself.
     """
     rows = labelled.filter(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = rows.groupBy(label).count().collect()
@@ -181,17 +187,15 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: s
         return None
     per = min(PER_LANGUAGE, SAMPLE_ROWS / len(counts))
     shares = labelled.sparkSession.createDataFrame([(r[label], min(1.0, per / r["count"])) for r in counts], "__label string, __share double")
-    chance = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / (1 << 30)
-    rows = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), chance.alias("chance"), F.substring(text, 1, 4 * SAMPLE_BYTES).alias("t"))
-    picked = rows.join(F.broadcast(shares), F.col("label") == F.col("__label")).filter("chance < __share").select("key", "label", "t").orderBy("key").collect()
+    chance = F.pmod(F.xxhash64(key, text), F.lit(1 << 30)) / (1 << 30)
+    rows = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), chance.alias("chance"), window_of(F.col(text), SAMPLE_BYTES, key).alias("t"))
+    picked = rows.join(F.broadcast(shares), F.col("label") == F.col("__label")).filter("chance < __share").select("key", "label", "t").distinct().orderBy("key", "label", "t").collect()
     # No label is lost to chance.
     if missing := sorted({r[label] for r in counts} - {r["label"] for r in picked}):
         rest = rows.join(F.broadcast(labelled.sparkSession.createDataFrame([(x,) for x in missing], "label string")), "label")
         picked += rest.groupBy("label").agg(F.min(F.struct("chance", "key", "t")).alias("r")).select("r.key", "label", "r.t").orderBy("label").collect()
     classes = sorted({r["label"] for r in picked})
-    texts = [r["t"].encode("utf-8", "surrogatepass") for r in picked]
-    # Another place in each text: the sample sees more than beginnings.
-    texts = [t[(a := (37 * k) % max(1, len(t) - SAMPLE_BYTES)) : a + SAMPLE_BYTES] for k, t in enumerate(texts)]
+    texts = [r["t"].encode("utf-8", "surrogatepass")[:SAMPLE_BYTES] for r in picked]
     net = ByteGRU(classes)
     if len(classes) > 1:
         net.train(texts, np.array([classes.index(r["label"]) for r in picked]))

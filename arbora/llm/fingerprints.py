@@ -7,20 +7,27 @@ their generalised Jaccard similarity, the sum of lesser over the sum of greater
 the least ``ln a`` itself identifies the sample, and a signature is one minimum per ``k``.
 
 Texts move once, to range buckets of the key, where each also meets its successor; everything after that is grouped inside buckets.
-A document without words has empty samples, which equal only other empty samples.
+A document without words has empty samples, which equal only other empty samples.  A null text counts as empty.  Null keys come first and
+rows that share a key are ordered by a hash of their texts, so that a key with many rows fills several buckets; repeated rows follow each
+other and each has a result.  An empty table gives an empty result.  Only key and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import documents, range_bounds, tasks, with_bucket
+from arbora.llm.common import documents, tasks
 from arbora.llm.quality import words
 
 SAMPLES = 64
 #: Samples taken in one pass over a document's words.
 GROUP = 8
+#: Bytes of text in a bucket, about.
+BUCKET_BYTES = 4 << 20
 _UNIT = 2.0**-32
 
 
@@ -62,22 +69,59 @@ def _hex(samples: Column) -> Column:
     return F.concat(*[F.when(F.get(samples, F.lit(j)).isNull(), F.lit("0" * 8)).otherwise(d) for j, d in enumerate(digits)])
 
 
+#: A place in the order of rows: 0 for a null key, the key, a hash of the text.
+Place = tuple[int, int, int]
+_PLACE = ("__known", "__key", "__hash")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    return rows.select("*", F.col("key").isNotNull().cast("bigint").alias("__known"), F.coalesce("key", F.lit(0)).cast("bigint").alias("__key"), F.xxhash64("text").alias("__hash"))
+
+
+def _with_bucket(rows: DataFrame, bounds: list[Place]) -> DataFrame:
+    """``__bucket``: the index of the last of ``bounds`` that is not above the row's place, by binary search in literal arrays."""
+    arrays = [F.split(F.lit(",".join(str(b[i]) for b in bounds)), ",").cast("array<bigint>") for i in range(3)]
+    rows, step = rows.withColumn("__bucket", F.lit(0)), 1 << max(0, len(bounds) - 1).bit_length()
+    while step >= 1:
+        to = F.col("__bucket") + step
+        below = F.lit(True)
+        for array, name in reversed(list(zip(arrays, _PLACE, strict=True))):
+            there = F.get(array, to)
+            below = (there < F.col(name)) | ((there == F.col(name)) & below)
+        rows, step = rows.withColumn("__bucket", F.when((to < len(bounds)) & below, to).otherwise(F.col("__bucket"))), step // 2
+    return rows
+
+
+def _bounds(rows: DataFrame) -> list[Place]:
+    """The first place of each bucket.  A key that fills several buckets, or a null key, is cut by the hash of its texts."""
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.count("key").alias("known")).first()
+    buckets = max(4 * tasks(rows.sparkSession), math.ceil((size["bytes"] or 0) / BUCKET_BYTES))
+    cut = lambda known, key, parts: [(known, key, (i << 64) // parts - (1 << 63)) for i in range(parts)]
+    found = cut(0, 0, max(1, math.ceil(buckets * (size["n"] - size["known"]) / max(1, size["n"]))))
+    keys = rows.agg(F.percentile_approx("key", [i / buckets for i in range(buckets)], 10 * buckets + 1000)).first()[0]
+    for key, parts in sorted(Counter(keys or []).items()):
+        found += cut(1, key, parts)
+    firsts = _with_bucket(rows, found).groupBy("__bucket").agg(F.min(F.struct(*_PLACE)).alias("first")).collect()
+    return sorted(tuple(r["first"]) for r in firsts) or [(0, 0, 0)]
+
+
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``bucket``, ``place``, ``guest``, ``key``, ``text``, ``next_text``: each row beside the next by ascending ``key`` (ties by text).
+    """``bucket``, ``place``, ``guest``, ``key``, ``text``, ``next_text``: each row beside the next by ascending integer ``key`` (null first; ties by a hash of the text).
 
-    The last row's next is the first.  A bucket also holds the first row of the next bucket as a ``guest``, for what has to be known of
-    it there.  Rows with a null key come first.
+    The last row's next is the first.  A bucket also holds the first row of the next bucket as a ``guest``, for what has to be known of it there.
     """
-    bounds = range_bounds(df, key, 4 * tasks(df.sparkSession))
-    rows = with_bucket(df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")), "key", bounds, "bucket")
-    n = max(1, len(bounds))
-    array = F.split(F.lit(",".join(map(str, bounds or [0]))), ",").cast("array<bigint>")
-    first = F.get(array, F.col("bucket")).eqNullSafe(F.col("key"))
-    own, guest = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(((F.col("bucket") + n - 1) % n).alias("b"), F.lit(True).alias("guest"))
+    rows = _placed(df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    bounds = _bounds(rows)
+    rows, n = _with_bucket(rows, bounds), len(bounds)
+    first = F.lit(True)
+    for i, name in enumerate(_PLACE):
+        first = first & (F.get(F.split(F.lit(",".join(str(b[i]) for b in bounds)), ",").cast("array<bigint>"), F.col("__bucket")) == F.col(name))
+    bucket = F.col("__bucket")
+    own, guest = F.struct(bucket.alias("b"), F.lit(False).alias("guest")), F.struct(((bucket + n - 1) % n).alias("b"), F.lit(True).alias("guest"))
     rows = rows.withColumn("at", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))))
-    order = Window.partitionBy("bucket").orderBy("guest", F.col("key").asc_nulls_first(), "text")
-    rows = rows.select(F.col("at.b").alias("bucket"), F.col("at.guest").alias("guest"), "key", "text")
-    return rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
+    order = Window.partitionBy("bucket").orderBy("guest", *_PLACE, "text")
+    rows = rows.select(F.col("at.b").alias("bucket"), F.col("at.guest").alias("guest"), "key", "text", *_PLACE)
+    return rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order)).drop(*_PLACE)
 
 
 def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -115,8 +159,8 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", samples:
         (F.col("e") / total).alias("near_edited"),
         (F.col("n") / total).alias("near_next"),
     )
-    facts = rows.filter("not guest").select("bucket", "place", F.col("key").alias(key), size.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    return facts.join(joined, ["bucket", "place"]).select(key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    facts = rows.filter("not guest").select("bucket", "place", "key", size.cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    return facts.join(joined, ["bucket", "place"]).select(F.col("key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,14 @@
 """Byte-level BPE: whole texts to ids and back, equal to what the vocabulary's own library gives.
 
 A text is cut at its special tokens, the rest into pieces by the vocabulary's pattern.  Pieces repeat, so each process keeps the
-ids of those it has seen (cleared at ``CACHE`` entries, which bounds memory).  A new piece is merged with a contiguous rank array:
-``bounds`` holds the part boundaries and ``ranks[i]`` the merge rank of parts ``i`` and ``i+1``; the least rank is found by a scan, its
-boundary is deleted, and the two neighbouring ranks are looked up again.  The scan is quadratic in a piece's length, so pieces over
-``SHORT`` bytes use a heap over linked parts, which merges in the same order (least rank, leftmost first).
-
-A null text counts as empty and gives no ids.
+ids of those it has seen (of ``SHORT`` bytes at most, cleared at ``CACHE`` entries, which bounds memory).  A new piece is merged with a contiguous
+rank array: ``bounds`` holds the places in the piece where its parts begin, and its end, and ``ranks[i]`` the rank of the part that parts ``i`` and
+``i+1`` make together; the least rank is found by a scan, the boundary between the two is deleted, and the ranks of the merged part with its
+neighbours are looked up again by the bytes between their boundaries.  The scan is quadratic in a piece's length, so pieces over ``SHORT`` bytes
+use a heap over linked parts, which merges in the same order (least rank, leftmost first).
+
+A null text counts as empty and gives no ids; an empty table gives an empty result; rows are encoded each for itself, so repeated rows and
+nulls in other columns change nothing.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import pairwise
 
@@ -48,12 +50,38 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def check_byte_tokenizer(spec: dict) -> None:
+    """Raises unless the tokenizer file asks for what :class:`ByteBPE` does."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    whole = not any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or cut.get("use_regex") is False or not plain or not whole:
+        raise ValueError("the tokenizer file normalises or cuts texts in another way than this encoder")
+
+
+class PieceIds(dict):
+    """The ids, as int32 in a row, of pieces, made when first asked for.  Long pieces are not kept; at ``CACHE`` pieces all are forgotten."""
+
+    def __init__(self, make: Callable[[bytes], list[int]]):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        raw = piece.encode("utf-8", "surrogatepass")
+        found = array("i", self.make(raw)).tobytes()
+        if len(raw) <= SHORT:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class ByteBPE:
     """A byte-level BPE vocabulary read from a tokenizer file; truncation and padding are not applied."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_byte_tokenizer(spec)
         model, symbols = spec["model"], byte_symbols()
         byte_of = {c: b for b, c in symbols.items()}
         vocab = model["vocab"]
@@ -69,29 +97,28 @@ class ByteBPE:
         self.bytes_of: list[bytes] = [b""] * size
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
+        self.id_of = {self.bytes_of[i]: i for token, i in vocab.items() if token not in self.special}
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces, self.plain_pieces, self.not_plain = regex.compile(_PATTERN), re.compile(_PLAIN_PATTERN), re.compile("[^\x00-ſ]")
-        self.seen: dict[str, bytes] = {}
+        self.seen = PieceIds(self.merge)
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece."""
         if len(piece) > SHORT:
             return self._merge_long(piece)
-        ids, bounds = [*map(self.byte_id.__getitem__, piece)], [*range(len(piece) + 1)]
-        get, bits, low = self.merges.get, self.bits, (1 << self.bits) - 1
-        ranks = [get(a << bits | b, NEVER) for a, b in pairwise(ids)]
+        bounds, of, get, bits, low = [*range(len(piece) + 1)], self.id_of, self.merges.get, self.bits, (1 << self.bits) - 1
+        ranks = [get(a << bits | b, NEVER) for a, b in pairwise(map(self.byte_id.__getitem__, piece))]
         while ranks and (least := min(ranks)) != NEVER:
             i = ranks.index(least)
-            ids[i] = new = least & low
-            del ids[i + 1], bounds[i + 1], ranks[i]
+            del bounds[i + 1], ranks[i]
+            new = least & low
             if i < len(ranks):
-                ranks[i] = get(new << bits | ids[i + 1], NEVER)
+                ranks[i] = get(new << bits | of[piece[bounds[i + 1] : bounds[i + 2]]], NEVER)
             if i:
-                ranks[i - 1] = get(ids[i - 1] << bits | new, NEVER)
-        assert len(bounds) == len(ids) + 1
-        return ids
+                ranks[i - 1] = get(of[piece[bounds[i - 1] : bounds[i]]] << bits | new, NEVER)
+        return [of[piece[a:b]] for a, b in pairwise(bounds)]
 
     def _merge_long(self, piece: bytes) -> list[int]:
         ids: list[int] = [self.byte_id[b] for b in piece]
@@ -113,22 +140,13 @@ class ByteBPE:
                     heapq.heappush(heap, (m, p, ids[p], ids[after[p]]))
         return [x for x, dead in zip(ids, gone, strict=True) if not dead]
 
-    def _new(self, piece: str) -> bytes:
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
-        found = self.seen[piece] = array("i", self.merge(piece.encode("utf-8", "surrogatepass"))).tobytes()
-        return found
-
     def _plain(self, text: str) -> bytes:
         """The ids, as int32 in a row, of a text without special tokens."""
         pieces = (self.pieces if self.not_plain.search(text) else self.plain_pieces).findall(text)
-        try:  # nearly always every piece has been seen before or is learned in the second pass
-            return b"".join(map(self.seen.__getitem__, pieces))
-        except KeyError:
-            return b"".join([self.seen.get(p) or self._new(p) for p in pieces])
+        return b"".join(map(self.seen.__getitem__, pieces))
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.at_special:
+        if not any(x in text for x in self.special):
             return np.frombuffer(self._plain(text), np.int32)
         parts = self.at_special.split(text)
         return np.frombuffer(b"".join(np.int32(self.special[x]).tobytes() if k % 2 else self._plain(x) for k, x in enumerate(parts)), np.int32)

@@ -1,13 +1,18 @@
 """Mixing by soft membership: document rates whose expected domain token totals match target weights.
 
-1. A classifier, fitted on a bounded sample of the labelled table, gives every document its posterior over domains.  Posteriors are set on
-   a grid of 1/``GRID``, so that documents fall into cells of equal posterior.
+1. A classifier, fitted on a bounded sample of the labelled table, gives every document its posterior over domains.  For the fit alone,
+   posteriors are set on a grid of 1/``GRID``, so that documents fall into cells of equal posterior; the posteriors returned are exact.
 2. With rate ``w``, tokens ``n`` and posterior ``p``, the expected tokens of domain ``k`` are ``sum w n p_k``.  Projected gradient descent
    with momentum minimises half the squared distance of those totals (as shares of all tokens) from the targets, plus
    ``PULL / 2 * sum (n / N) (w - 1)^2``, over ``w >= 0``, in the metric ``n / N``.  There a step on ``w`` needs the document's posterior and
-   the totals' residual alone; so equal posteriors have equal rates, and a table of cells and token sums is enough.  Each iteration is one distributed pass
-   that returns a few sums; a cell's rate is replayed from the residuals so far, so no state has to survive on an executor.
+   the totals' residual alone; so equal posteriors have equal rates, and a table of cells and token sums is enough.  Each iteration is one pass
+   over the cells that returns a few sums; a cell's rate is replayed from the residuals so far, so no state has to survive on an executor.
+   A table of ``CELLS_IN_TASK`` cells or fewer (there are C(GRID + k - 1, k - 1) at most for k domains: 5,151 for three) has all its iterations in one task, a
+   larger one a distributed pass for each; both take the same steps until totals rest, and a fit that does not come to rest raises.
 3. Rates become copies: ``floor(w)`` and one more with the remaining probability, by a hash of the key.
+
+Rows are rated each for itself: repeated rows each count, and rows that share a key or have none too; equal keys have equal chances.  An empty
+table gives an empty result.  Only key, text and carried columns are read, and carried columns may have any name but those of the result.
 """
 
 from __future__ import annotations
@@ -23,13 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import documents, durable, slices
+from arbora.llm.common import documents, durable, release, slices
 from arbora.llm.sample import labelled_sample
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 GRID = 100
-PULL = 0.001
-STEPS = 100
+PULL = 0.0001
+#: Iterations after which a fit that has not come to rest is given up.
+STEPS = 5000
+#: A fit rests when no share of a domain moves more than this in an iteration, nor lies further from where the next one starts.
+REST = 1e-7
 #: Cells of equal posterior that one task of a step takes.
 CELLS_IN_TASK = 50_000
 #: Words that the classifier weighs, at most, and the least number of sampled documents that hold such a word.
@@ -99,16 +107,19 @@ class DomainClassifier:
             self.coef -= 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
 
     def posteriors(self, texts: list[str]) -> tuple[list[int], np.ndarray]:
-        """Numbers of words, and posteriors as whole multiples of 1/GRID that add up to 1."""
+        """Numbers of words, and posteriors."""
         found = [self.features(t) for t in texts]
         x = np.array([f for _, f in found]).reshape(len(texts), -1)
         y = np.c_[np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))] @ self.coef
         y = np.exp(y - y.max(1, keepdims=True))
-        y /= y.sum(1, keepdims=True)
-        cell = np.floor(y * GRID + 0.5).astype(np.int64)
-        at = np.arange(len(y)), y.argmax(1)
-        cell[at] += GRID - cell.sum(1)
-        return [n for n, _ in found], cell
+        return [n for n, _ in found], y / y.sum(1, keepdims=True)
+
+
+def cells_of(posteriors: np.ndarray) -> np.ndarray:
+    """Posteriors as whole multiples of 1/GRID that add up to 1: rounded, what is missing or too much at the greatest."""
+    cell = np.floor(posteriors * GRID + 0.5).astype(np.int64)
+    cell[np.arange(len(cell)), posteriors.argmax(1)] += GRID - cell.sum(1)
+    return cell
 
 
 def learn(docs: DataFrame, labels: DataFrame, domain: str = "domain") -> DomainClassifier:
@@ -121,18 +132,59 @@ def learn(docs: DataFrame, labels: DataFrame, domain: str = "domain") -> DomainC
     return model
 
 
+class Descent:
+    """Rates of cells under projected gradient steps with the momentum that the pull's convexity allows."""
+
+    def __init__(self, cells: np.ndarray, pull: float = PULL):
+        self.p, self.pull, self.eta = cells / GRID, pull, 1 / (1 + pull)
+        self.w, self.y = np.ones(len(cells)), np.ones(len(cells))
+        root = math.sqrt(pull / (1 + pull))
+        self.momentum = (1 - root) / (1 + root)
+
+    def step(self, residual: np.ndarray) -> None:
+        """A step from ``y``, where the totals miss the targets by ``residual``."""
+        new = np.maximum(0, self.y - self.eta * (self.p @ residual + self.pull * (self.y - 1)))
+        self.y, self.w = new + self.momentum * (new - self.w), new
+
+
 def rates_of(cells: np.ndarray, history: list[np.ndarray], pull: float = PULL) -> np.ndarray:
-    """Rates after the steps whose residuals are ``history``, from 1; with one more entry than steps, the point where the next is taken."""
-    p, w, y, momentum, eta = cells / GRID, np.ones(len(cells)), np.ones(len(cells)), 1.0, 1 / (1 + pull)
+    """Rates after the steps whose residuals are ``history``, from 1, and the point where the next is taken."""
+    found = Descent(cells, pull)
     for residual in history:
-        new = np.maximum(0, y - eta * (p @ residual + pull * (y - 1)))
-        later = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-        y, w, momentum = new + (momentum - 1) / later * (new - w), new, later
-    return np.stack([w, y])
+        found.step(residual)
+    return np.stack([found.w, found.y])
+
+
+def rests(before: np.ndarray, done: np.ndarray, ahead: np.ndarray) -> bool:
+    return bool(np.abs(done - before).max() < REST and np.abs(done - ahead).max() < REST)
+
+
+def _in_one_task(cells: DataFrame, targets: np.ndarray, steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """All steps in one task that holds the whole bounded table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches))
+        c, n = np.stack(rows["cell"].to_list()), rows["tokens"].to_numpy(np.float64)
+        weight = (n / max(1.0, n.sum()))[:, None] * (c / GRID)
+        found, history = Descent(c), []
+        done = ahead = found.y @ weight
+        for _ in range(steps):
+            history.append(ahead - targets)
+            found.step(history[-1])
+            before, done, ahead = done, found.w @ weight, found.y @ weight
+            if rests(before, done, ahead):
+                break
+        yield pd.DataFrame({"history": [[x.tolist() for x in history]], "before": [before.tolist()], "done": [done.tolist()], "ahead": [ahead.tolist()]})
+
+    row = cells.coalesce(1).mapInPandas(run, "history array<array<double>>, before array<double>, done array<double>, ahead array<double>").first()
+    history, done = [np.array(x) for x in row["history"]], np.array(row["done"])
+    if not rests(np.array(row["before"]), done, np.array(row["ahead"])):
+        raise RuntimeError(f"the rates did not come to rest in {steps} steps")
+    return history, done
 
 
-def fit_rates(cells: DataFrame, targets: np.ndarray, steps: int = STEPS, tolerance: float = 1e-7) -> tuple[list[np.ndarray], np.ndarray]:
-    """The residuals of each projected-gradient step over ``cells`` (``cell`` array<bigint>, ``tokens`` bigint), and the shares reached."""
+def _in_passes(cells: DataFrame, targets: np.ndarray, steps: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """One distributed pass for each step."""
     history: list[np.ndarray] = []
     k = len(targets)
 
@@ -156,9 +208,19 @@ def fit_rates(cells: DataFrame, targets: np.ndarray, steps: int = STEPS, toleran
         history.append(ahead - targets)
         before = done
         done, ahead = totals(history)
-        if np.abs(done - before).max() < tolerance and np.abs(done - ahead).max() < tolerance:
-            break
-    return history, done
+        if rests(before, done, ahead):
+            return history, done
+    raise RuntimeError(f"the rates did not come to rest in {steps} steps")
+
+
+def fit_rates(cells: DataFrame, targets: np.ndarray, steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
+    """The residuals of each projected-gradient step over ``cells`` (``cell`` array<bigint>, ``tokens`` bigint), and the shares reached."""
+    n = cells.count()
+    if not n:
+        return [], np.zeros(len(targets))
+    if n <= CELLS_IN_TASK:
+        return _in_one_task(cells, targets, steps)
+    return _in_passes(cells.coalesce(math.ceil(n / CELLS_IN_TASK)), targets, steps)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: str = "domain", key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -174,22 +236,28 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
         for batch in slices(batches):
             texts = [x or "" for x in batch.column(text).to_pylist()]
             if len(model.domains) > 1:
-                n, cell = model.posteriors(texts)
+                n, posterior = model.posteriors(texts)
+                cell = cells_of(posterior)
             else:
-                n, cell = [len(t.split()) for t in texts], np.full((len(texts), len(model.domains)), GRID, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(cell.tolist(), pa.list_(pa.int64()))], names=[*kept, "n_tokens", "cell"])
+                n, posterior = [len(t.split()) for t in texts], np.ones((len(texts), len(model.domains)))
+                cell = (posterior * GRID).astype(np.int64)
+            lists = pa.array(posterior.tolist(), pa.list_(pa.float64())), pa.array(cell.tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), *lists], names=[*kept, "n_tokens", "posterior", "cell"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    scored = durable(docs.select(*kept, text).mapInArrow(run, f"{schema}, n_tokens bigint, cell array<bigint>"), "mixing")
+    scored = durable(docs.select(*kept, text).mapInArrow(run, f"{schema}, n_tokens bigint, posterior array<double>, cell array<bigint>"), "mixing")
     history: list[np.ndarray] = []
     if len(model.domains) > 1 and wanted.sum() > 0:
         cells = durable(scored.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")), "mixing-cells")
-        # Each step is a pass over the cells: no more tasks than their number asks for.
-        history, _ = fit_rates(cells.coalesce(max(1, math.ceil(cells.count() / CELLS_IN_TASK))), wanted / wanted.sum())
+        history, _ = fit_rates(cells, wanted / wanted.sum())
+        release(cells)
 
     @F.pandas_udf("double")
     def rate(cell: pd.Series) -> pd.Series:
-        return pd.Series(rates_of(np.stack(cell.to_list()), history)[0] if history and len(cell) else np.ones(len(cell)))
+        if not history or not len(cell):
+            return pd.Series(np.ones(len(cell)))
+        different, of = np.unique(np.stack(cell.to_list()), axis=0, return_inverse=True)
+        return pd.Series(rates_of(different, history)[0][of.reshape(-1)])
 
     names = F.array(*[F.lit(d) for d in model.domains]) if model.domains else F.array().cast("array<string>")
     chance = F.pmod(F.xxhash64(F.col(key), F.lit("mixing")), F.lit(1 << 30)) / (1 << 30)
@@ -197,8 +265,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: s
     return out.select(
         *kept,
         "n_tokens",
-        F.get(names, F.array_position("cell", F.array_max("cell")).cast("int") - 1).alias("domain_pred"),
-        F.map_from_arrays(names, F.transform("cell", lambda c: c / GRID)).alias("posterior"),
+        F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1).alias("domain_pred"),
+        F.map_from_arrays(names, "posterior").alias("posterior"),
         "rate",
         F.floor(F.col("rate") + chance).cast("int").alias("copies"),
     )

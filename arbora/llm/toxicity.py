@@ -3,9 +3,15 @@
 The lexicon is learned from labelled rows: words, and stems of many words, that occur in toxic documents more often than chance allows.  It is
 held as a trie.  A word of a text is compared by
 running its Levenshtein automaton (a state is the row of edit distances after the characters read so far) along the trie and leaving a
-branch when no cell is within ``EDITS``; so ``w0rthless`` reaches ``worthless`` without a list of misspellings.  Each hit gets a context score from
+branch when no cell is within the edits allowed (one; two for terms of ``LONG_TERM`` characters or more, which takes in swapped letters); so
+``w0rthless`` and ``wrothless`` reach ``worthless`` without a list of misspellings.  A word that clean documents use too is never a
+misspelling (but for words that toxic ones use more often than chance allows), and a term with ``CROWDED`` or more such neighbours is matched only as it is.  Each hit gets a context score from
 a window of ``SPAN`` words on either side: quotation marks and words of report speak for a quotation, address of a person for abuse.
 A logistic regression on the hits' sums gives the score.
+
+The sample for fitting is bounded by ``SAMPLE_ROWS``, and a sampled text longer than ``SAMPLE_CHARS`` is read in a window from a place picked by
+hash; scores are of whole texts.  Rows are scored each for itself, so repeated rows score alike; an empty table gives an empty result; a column
+called ``score`` is replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,10 @@ TERM_ODDS, STEM_ODDS = 2.5, 4.0
 #: What a misspelled hit counts of an exact one.
 MISSPELLED = 0.7
 EDITS = 1
+#: Terms of this length may be misspelled twice.
+LONG_TERM = 8
+#: A term with this many ordinary words near it is not matched misspelled.
+CROWDED = 2
 SPAN = 4
 THRESHOLD = 0.7
 CACHE = 200_000
@@ -47,53 +58,64 @@ ADDRESS = frozenset("you your you're youre u ur yourself du dein deine dich ihr
 LEET = str.maketrans("013457@$", "oieastas")
 
 
+def edits_of(term: str) -> int:
+    return EDITS + (len(term) >= LONG_TERM)
+
+
 class Trie:
     """A lexicon as nested dicts; the empty string's entry is the term's index."""
 
     def __init__(self, terms: list[str]):
         self.root: dict = {}
+        self.limit = [edits_of(t) for t in terms]
+        # Of a term cut into one part more than it may have edits, a word within these edits holds a part as it is.
+        self.parts: dict[int, set[str]] = {}
         for i, term in enumerate(terms):
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = i
-        # A word within one edit of a term begins with the term's first half or ends with its second.
-        self.heads = {t[: len(t) // 2] for t in terms}
-        self.tails = {t[len(t) // 2 :] for t in terms}
-        self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
-        self.sizes = {len(t) + d for t in terms for d in range(-EDITS, EDITS + 1)}
-
-    def may_match(self, word: str, edits: int) -> bool:
-        if edits > 1:
-            return True
-        return len(word) in self.sizes and (any(word[:k] in self.heads for k in self.head_sizes) or any(word[len(word) - k :] in self.tails for k in self.tail_sizes if k <= len(word)))
-
-    def nearest(self, word: str, edits: int = EDITS) -> tuple[int, int] | None:
-        """(distance, term index) of the nearest term within ``edits``, the least index among equals."""
+            k = self.limit[i] + 1
+            cuts = [len(term) * j // k for j in range(k + 1)]
+            for n in range(len(term) - self.limit[i], len(term) + self.limit[i] + 1):
+                self.parts.setdefault(n, set()).update(term[x:y] for x, y in pairwise(cuts))
+        self.sizes = {n: sorted({len(x) for x in found}) for n, found in self.parts.items()}
+
+    def may_match(self, word: str) -> bool:
+        """Whether ``word`` may be within a term's edits."""
+        parts = self.parts.get(len(word))
+        return parts is not None and any(word[i : i + k] in parts for k in self.sizes[len(word)] for i in range(len(word) - k + 1))
+
+    def nearest(self, word: str) -> tuple[int, int] | None:
+        """(distance, term index) of the nearest term within its edits, the least index among equals."""
         best: tuple[int, int] | None = None
+        most = max(self.limit, default=0)
         stack = [(self.root, list(range(len(word) + 1)))]
         while stack:
             node, row = stack.pop()
-            if "" in node and row[-1] <= edits:
-                best = min(best or (edits + 1, 0), (row[-1], node[""]))
+            if "" in node and row[-1] <= self.limit[node[""]]:
+                found = row[-1], node[""]
+                best = found if best is None else min(best, found)
             for c, child in node.items():
                 if c:
                     new = [row[0] + 1]
                     for j, w in enumerate(word, 1):
                         new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (w != c)))
-                    if min(new) <= edits:
+                    if min(new) <= (most if best is None else best[0]):
                         stack.append((child, new))
         return best
 
 
 class Toxicity:
-    """The lexicon with each term's weight, and the regression.  ``terms`` that end in ``*`` are stems; those in ``strict`` are not matched misspelled."""
+    """The lexicon with each term's weight, and the regression.  ``terms`` that end in ``*`` are stems; those in ``strict`` are not matched misspelled, and the words ``ordinary`` are no misspellings."""
 
-    def __init__(self, terms: list[str], odds: list[float], strict: frozenset[int] = frozenset()):
-        self.terms, self.odds, self.strict = terms, odds, strict
+    def __init__(self, terms: list[str], odds: list[float], strict: frozenset[int] = frozenset(), ordinary: frozenset[str] = frozenset()):
+        self.terms, self.odds, self.strict, self.ordinary = terms, odds, strict, ordinary
         self.index = {t: i for i, t in enumerate(terms)}
         self.whole = [t for t in terms if t[-1] != "*"]
-        self.trie = Trie(self.whole)
+        # Terms that are only matched as they are stay out of the trie, so that they hide no other term.
+        self.spelled = [t for t in self.whole if self.index[t] not in strict]
+        self.trie = Trie(self.spelled)
         self.stems = {t[:-1]: i for i, t in enumerate(terms) if t[-1] == "*"}
         self.seen: dict[str, tuple[int, int] | None] = {}
         self.coef = np.zeros(len(self.features("")) + 1)
@@ -108,11 +130,17 @@ class Toxicity:
             self.seen.clear()
         bare, found = word.strip(_STRIP), None
         if len(bare) >= TERM_CHARS - EDITS:
-            for form in dict.fromkeys((bare, bare.translate(LEET))):
-                if self.trie.may_match(form, EDITS) and (near := self.trie.nearest(form)):
-                    near = (near[0] + (form != bare), self.index[self.whole[near[1]]])
-                    if not near[0] or near[1] not in self.strict:
-                        found = min(found or near, near)
+            if bare in self.index and bare[-1] != "*":
+                found = 0, self.index[bare]
+            elif bare not in self.ordinary:
+                for form in dict.fromkeys((bare, bare.translate(LEET))):
+                    if form in self.index and form[-1] != "*":
+                        near = 1, self.index[form]
+                    elif self.trie.may_match(form) and (near := self.trie.nearest(form)):
+                        near = near[0] + (form != bare), self.index[self.spelled[near[1]]]
+                    else:
+                        continue
+                    found = min(found or near, near)
             if not found or found[0]:
                 found = next(((0, self.stems[bare[:k]]) for k in STEM_CHARS if bare[:k] in self.stems), found)
         self.seen[word] = found
@@ -131,7 +159,7 @@ class Toxicity:
             around = [x.strip(_STRIP) for x in (*before[:-1], *after[1:])]
             # Above 0: abuse; below: quotation.
             context = sum(x in ADDRESS for x in around) - sum(x in REPORTING for x in around) - 2 * marks
-            value = (min(8.0, self.odds[h[1]]) - 2) * (MISSPELLED if h[0] else 1)
+            value = (min(8.0, self.odds[h[1]]) - 2) * MISSPELLED ** h[0]
             if context < 0:
                 quoted += value
             else:
@@ -191,9 +219,10 @@ def fit_model(texts: list[str], y: np.ndarray) -> Toxicity:
     odds = {w: o for w, o in odds.items() if not any(w.rstrip("*")[:k] + "*" in odds for k in STEM_CHARS if k < len(w.rstrip("*")))}
     chosen = sorted(odds, key=lambda w: (-odds[w] * math.sqrt(bad[w]), w))[:TERMS]
     model = Toxicity(chosen, [odds[w] for w in chosen])
-    # Terms that ordinary words are near to are only matched as they are.
-    near = [h for w in good if w[-1] != "*" and (h := model.hit(w)) and h[0]]
-    model = Toxicity(chosen, model.odds, frozenset(i for _, i in near))
+    # Words near a term that clean documents use too.
+    near = {w: h[1] for w in good if w[-1] != "*" and not sure(w) and (h := model.hit(w)) and h[0]}
+    crowd = Counter(near.values())
+    model = Toxicity(chosen, model.odds, frozenset(i for i, n in crowd.items() if n >= CROWDED), frozenset(near))
     if len(set(y.tolist())) == 2:
         model.fit(texts, y)
     model.seen.clear()
@@ -206,9 +235,9 @@ def hash32(word: str) -> int:
 
 
 @lru_cache(maxsize=2)
-def _of(terms: tuple[str, ...], odds: tuple[float, ...], strict: frozenset[int], coef: tuple[float, ...]) -> Toxicity:
+def _of(terms: tuple[str, ...], odds: tuple[float, ...], strict: frozenset[int], ordinary: frozenset[str], coef: tuple[float, ...]) -> Toxicity:
     """One model per process, so that what it has seen outlives a task."""
-    model = Toxicity(list(terms), list(odds), strict)
+    model = Toxicity(list(terms), list(odds), strict, ordinary)
     model.coef = np.array(coef)
     return model
 
@@ -216,7 +245,7 @@ def _of(terms: tuple[str, ...], odds: tuple[float, ...], strict: frozenset[int],
 def scored(df: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
     """``df`` without ``text``, with ``score``.  A null or empty text has no hit and so the least score."""
     kept = [f for f in df.schema if f.name not in (text, "score")]
-    spec = tuple(model.terms), tuple(model.odds), model.strict, tuple(model.coef.tolist())
+    spec = tuple(model.terms), tuple(model.odds), model.strict, model.ordinary, tuple(model.coef.tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _of(*spec)

@@ -1,8 +1,9 @@
 """Stupid-backoff language-model scores of every document against counts over the whole corpus.
 
-A word's score after its history is ``c(history word) / c(history)`` for the longest history whose n-gram the count table holds, times
-``BACKOFF`` for each word of history given up; without history it is ``c(word) / N``.  The table holds n-grams of two and more words that occur
-``MIN_COUNT`` times or more in all documents together, and all single words.  A document's score is the sum of natural logarithms.
+A word's score after its history is ``c(history word) / c(history)`` for the longest history whose n-gram occurs, times ``BACKOFF`` for each
+word of history given up; without history it is ``c(word) / N``.  The table counts every n-gram of all documents; since the document that is
+scored is among them, what it counts itself is taken off (else no n-gram of it would ever be unseen), and a word that nothing else holds
+counts as one occurrence.  A document's score is the sum of natural logarithms.
 
 The tables are relations of n-gram hashes, partitioned by hash.  A row per n-gram and document would move the corpus many times over, so
 rows travel packed: documents are dealt into batches by a hash of their key, and what a batch sends to a partition of the count table is
@@ -10,7 +11,11 @@ one row with the batch's different n-grams of that hash range, sorted, and their
 per occurrence).  A partition adds up the counts of all batches and answers each batch in its own order; the answers are joined to the
 batch's exploded n-grams, and scores are summed per document.
 
-A null text counts as empty: no words, score 0 and a null mean.
+A null text counts as empty: no words, score 0 and a null mean.  Repeated rows are documents of their own, dealt to batches each for itself, and
+so are rows that share a key or have none.  An empty table gives an empty result.  Only key and text are read, so other columns may have any name.
+
+A batch's row for a partition holds the batch's n-grams of a hash range, so there are never more rows than n-grams; where batches and partitions
+are very many, rows get short and the packing gains less, but nothing grows faster than the corpus.
 """
 
 from __future__ import annotations
@@ -27,7 +32,6 @@ from arbora.llm.common import documents, tasks
 
 ORDER = 2
 BACKOFF = 0.4
-MIN_COUNT = 2
 #: Bytes of text in a batch, and of all texts for each partition of the count table; both bound a task's memory.
 BATCH_BYTES = 8 << 20
 #: The key that counts all words.
@@ -78,6 +82,17 @@ def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
 
 
+def _own(owner: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """How often each one's document holds its n-gram: pairs of document and n-gram, counted."""
+    pair = owner * (int(of.max(initial=0)) + 1) + of
+    order = np.argsort(pair, kind="stable")
+    ordered = pair[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(pair) else np.zeros(0, np.int64)
+    sizes, out = np.diff(first, append=len(pair)), np.empty(len(pair), np.int64)
+    out[order] = np.repeat(sizes, sizes)
+    return out
+
+
 def score(docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``n_words``, ``log_score``, ``mean_log_score`` and ``n_backoffs`` (words of history given up) of each row."""
     spark = docs.sparkSession
@@ -86,10 +101,11 @@ def score(docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str =
     parts = max(tasks(spark), math.ceil(total / BATCH_BYTES))
     kind = docs.schema[key].dataType.simpleString()
     # Both uses of this table share one exchange.
-    dealt = docs.select(key, text, F.pmod(F.xxhash64(key, F.length(text)), F.lit(batches)).cast("int").alias("batch")).repartition(max(tasks(spark), batches // 4), "batch")
+    place = F.pmod(F.xxhash64(F.col(key), F.col(text), F.monotonically_increasing_id()), F.lit(batches)).cast("int")
+    dealt = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), place.alias("batch")).repartition(max(tasks(spark), batches // 4), "batch")
 
     def ask(table: pa.Table) -> pa.Table:
-        sizes, found = grams(table[text].to_pylist(), order)
+        sizes, found = grams(table["text"].to_pylist(), order)
         every = np.concatenate([h[h != 0] for h in found])
         keys, counts = np.unique(every, return_counts=True)
         keys, counts = np.concatenate([[ALL], keys]), np.concatenate([[sizes.sum()], counts])
@@ -111,23 +127,24 @@ def score(docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str =
         return pa.table({"batch": table["batch"], "part": table["part"], "counts": pa.array([pack(x) for x in told], pa.binary())})
 
     def scores(texts: pa.Table, told: pa.Table) -> pa.Table:
-        sizes, found = grams(texts[text].to_pylist(), order)
+        sizes, found = grams(texts["text"].to_pylist(), order)
         every = np.concatenate([h[h != 0] for h in found])
         _, of = np.unique(every, return_inverse=True)
         told = told.sort_by("part")
         counts = np.concatenate([unpack(b) for b in told["counts"].to_pylist()]).astype(np.float64)
         n, counts = counts[0], counts[1:][of]
         held, at = [], 0
-        for k, h in enumerate(found):
-            c = np.zeros(len(h))
-            here = int((h != 0).sum())
-            c[h != 0] = counts[at : at + here]
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        for h in found:
+            c, there = np.zeros(len(h)), h != 0
+            here = int(there.sum())
+            c[there] = counts[at : at + here] - _own(owner[there], of[at : at + here])
             at += here
-            held.append(np.where(c >= (MIN_COUNT if k else 1), c, 0))
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            held.append(c)
+        place = np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
         history = np.minimum(place, order - 1)
         # From no history to the longest: the last that is held counts.
-        log, used = np.log(held[0] / n) if len(place) else np.zeros(0), np.zeros(len(place), np.int64)
+        log, used = np.log(np.maximum(held[0], 1) / np.maximum(n - sizes, 1)[owner]), np.zeros(len(place), np.int64)
         for k in range(1, order):
             seen = held[k] > 0
             before = np.concatenate([[0.0], held[k - 1][:-1]])
@@ -135,14 +152,13 @@ def score(docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str =
             used[seen] = k
         given_up = history - used
         log = log + given_up * math.log(BACKOFF)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
         sums = np.bincount(owner, log, len(sizes))
-        return pa.table({key: texts[key], "n_words": pa.array(sizes), "log_score": pa.array(sums), "n_backoffs": pa.array(np.bincount(owner, given_up, len(sizes)).astype(np.int64))})
+        return pa.table({"key": texts["key"], "n_words": pa.array(sizes), "log_score": pa.array(sums), "n_backoffs": pa.array(np.bincount(owner, given_up, len(sizes)).astype(np.int64))})
 
     asked = dealt.groupBy("batch").applyInArrow(ask, "batch int, part int, keys binary, counts binary")
     told = asked.repartition(parts, "part").groupBy("part").applyInArrow(answer, "batch int, part int, counts binary")
-    found = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(scores, f"`{key}` {kind}, n_words bigint, log_score double, n_backoffs bigint")
-    return found.select(key, "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"), "n_backoffs")
+    found = dealt.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(scores, f"key {kind}, n_words bigint, log_score double, n_backoffs bigint")
+    return found.select(F.col("key").alias(key), "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).alias("mean_log_score"), "n_backoffs")
 
 
 def op2_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
-"""Near copies: components of texts whose sets of word shingles have a Jaccard similarity of ``LEAST`` or more.
+"""SimHash near-dedup at a similarity: components of texts whose sets of word shingles have a Jaccard similarity of ``LEAST`` or more.
 
-**Candidates.**  ``BANDS`` bands of ``ROWS`` minima each: two sets of similarity s agree on a band with chance s^ROWS, so of the pairs at 0.8
-about 5 in 10^8 agree on none.  Sets that agree on a band share a bucket.
+**SimHash.**  Every set has a SimHash fingerprint, and the Gray-order index links those within ``RADIUS`` bits.  That finds copies of about 0.95 and more;
+at 0.8 two fingerprints differ in 10 bits of 64 on average, a radius in which the index would have to be asked about most of a large corpus.
 
-**Links.**  Every candidate that could join two components is checked against the sets themselves; no estimate decides.  First each member of a
-bucket is compared with one other, another in each band, which joins large groups of copies without all their pairs.  Buckets that then
-still hold several components have all pairs between these compared, but for those that sizes and parity sketches rule out: a bit of a
-sketch is the parity of the shingles that fall on it, so two sets differ in at least as many shingles as their sketches in bits.
+**Beyond the radius.**  ``BANDS`` bands of ``ROWS`` minima each: two sets of similarity s agree on a band with chance s^ROWS, so of the pairs at 0.8
+about 5 in 10^8 agree on none.  Sets that agree on a band share a bucket.  Each member of a bucket whose component is another than that of one
+member, another in each band, is compared with it, which joins large groups of copies without all their pairs.  Buckets that then still hold
+several components have all pairs between these compared, but for those that sizes and parity sketches rule out: a bit of a sketch is the
+parity of the shingles that fall on it, so two sets differ in at least as many shingles as their sketches in bits.
 
-Sets travel as the texts they come from.  Texts with equal sets are one code from the start.
+Every candidate from either is checked against the sets themselves before it links; no estimate decides.  Sets travel as the texts they come
+from.  Texts with equal sets are one code from the start.
 """
 
 from __future__ import annotations
@@ -19,16 +21,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.common import durable, slices, tasks
+from arbora.llm import simhash
+from arbora.llm.common import durable, release, slices, tasks
 from arbora.llm.simhash import GROUP, SALTS, SEED, components
 
-WIDTH, LEAST = 5, 0.8
+WIDTH, LEAST, RADIUS = 5, 0.8, 4
 BANDS, ROWS = 32, 4
 #: 64-bit words of a parity sketch.
 SKETCH = 16
+#: Rows of buckets in a task, about.
+TASK_ROWS = 100_000
 _MINIMA = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.random.default_rng(SEED + 1).integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -76,15 +81,16 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def with_bands(df: DataFrame, text: str, width: int) -> DataFrame:
-    """``df`` with ``code`` and ``buckets``."""
+    """``df`` with ``code``, ``fingerprint`` and ``buckets``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(x, width) for x in batch.column(text).to_pylist()]
             code, buckets = pa.array([code_of(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, code, buckets], names=[*batch.schema.names, "code", "buckets"])
+            prints = pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, code, prints, buckets], names=[*batch.schema.names, "code", "fingerprint", "buckets"])
 
-    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "code bigint", "buckets array<bigint>"]))
+    return df.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "code bigint", "fingerprint bigint", "buckets array<bigint>"]))
 
 
 def checked(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -134,11 +140,30 @@ def possible(root: np.ndarray, size: np.ndarray, sketches: np.ndarray, least: fl
         yield x[before] + at, y[before]
 
 
+def salted(by: str) -> Column:
+    """The part that a row of a bucket is dealt to, so that no bucket lands in one task."""
+    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+
+
+def salts_of(salt: str) -> Column:
+    """An aggregate: the salts that a group has, as bits."""
+    return F.bit_or(F.expr(f"shiftleft(1L, {salt})"))
+
+
+def each_salt(salts: str) -> Column:
+    return F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), i -> ({salts} & shiftleft(1L, i)) <> 0)"))
+
+
+def with_root(rows: DataFrame, roots: DataFrame, code: str, name: str) -> DataFrame:
+    """``rows`` with ``name``: the root of ``code``, itself where it has no link."""
+    return rows.join(roots.select(F.col("node").alias(code), F.col("root").alias(name)), code, "left").withColumn(name, F.coalesce(name, code))
+
+
 def between(placed: DataFrame, roots: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Pairs ``a``, ``b`` of different components that share a bucket and may be alike."""
-    rows = placed.filter("n > 2").select("bucket", "code", "n").join(roots.withColumnRenamed("node", "code"), "code", "left").withColumn("root", F.coalesce("root", "code"))
-    mixed = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-    rows = rows.join(mixed, "bucket").join(sketched(texts, width), "code")
+    rows = with_root(placed.filter("n > 2").select("bucket", "salt", "code", "n"), roots, "code", "root")
+    mixed = rows.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), salts_of("salt").alias("salts")).filter("x <> y").select("bucket", each_salt("salts").alias("salt"))
+    rows = rows.join(mixed, ["bucket", "salt"]).join(sketched(texts, width), "code")
     # One chunk where the bucket is small; else every chunk meets every chunk.
     rows = rows.withColumn("chunks", F.when(F.col("n") <= GROUP, 1).otherwise(F.ceil(F.col("n") / (GROUP // 2))).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("code"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -151,26 +176,51 @@ def between(placed: DataFrame, roots: DataFrame, texts: DataFrame, width: int, l
             for x, y in possible(g["root"].to_numpy(np.int64), g["size"].to_numpy(np.int64), sketches, least):
                 yield pd.DataFrame({"a": np.maximum(codes[x], codes[y]), "b": np.minimum(codes[x], codes[y])})
 
-    return rows.repartition(tasks(placed.sparkSession), "bucket", "low", "high").mapInPandas(search, "a bigint, b bigint")
+    parts = max(tasks(placed.sparkSession), placed.count() // TASK_ROWS)
+    return rows.repartition(parts, "bucket", "low", "high").mapInPandas(search, "a bigint, b bigint")
 
 
 def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), width: int = WIDTH, least: float = LEAST) -> DataFrame:
-    """``key``, the columns ``carry`` and ``root``, a number that the rows of a component share."""
+    """``key``, the columns ``carry`` and ``root``, a number that the rows of a component share.
+
+    A null text counts as empty; texts without words are copies of each other.  Repeated rows each have a result.  An empty table gives an empty one.
+    """
     marked = with_bands(df.select(key, *carry, F.col(text).alias("text")), "text", width)
     salt = F.pmod(F.xxhash64(key, *carry), F.lit(SALTS)).cast("int")
     prints = durable(marked.withColumn("salt", salt).withColumn("at", F.monotonically_increasing_id()), "near-copies")
     # Of the rows of a code, one.
     first = prints.groupBy("code").agg(F.min("at").alias("at"))
-    rows = prints.select("at", "code", "buckets").join(first.select("at"), "at", "left_semi").select("at", "code", F.explode("buckets").alias("bucket"))
-    rows = durable(rows, "near-copies-buckets")
+    codes = durable(prints.select("at", "code", "fingerprint", "buckets").join(first.select("at"), "at", "left_semi"), "near-copies-codes")
+
+    def texts_of(wanted: DataFrame, label: str) -> DataFrame:
+        places = codes.select("code", "at").join(wanted.distinct(), "code", "left_semi").select("at")
+        return durable(prints.select("at", "code", "text").join(places, "at", "left_semi").select("code", "text"), label)
+
+    # Codes of a fingerprint with the least of them, and those of fingerprints that the index links.
+    named = simhash.with_least(codes.select("fingerprint", "code"), "fingerprint", "code", "code", "rep")
+    reps = codes.groupBy("fingerprint").agg(F.min("code").alias("rep"))
+    near = simhash.links(reps.select("fingerprint"), RADIUS)
+    for end in ("a", "b"):
+        near = near.join(reps.select(F.col("fingerprint").alias(end), F.col("rep").alias(f"{end}_rep")), end)
+    pairs = named.filter("code <> rep").select(F.col("code").alias("a"), F.col("rep").alias("b")).union(near.select("a_rep", "b_rep"))
+    pairs = durable(pairs.filter("a <> b").distinct(), "near-copies-simhash")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("code")), "near-copies-simhash-texts")
+    roots = components(checked(pairs, texts, width, least))
+    release(texts, pairs)
+
     # The least of code xor bucket is another member in each band.
-    shared = rows.groupBy("bucket").agg(F.min(F.col("code").bitwiseXOR(F.col("bucket"))).alias("pick"), F.count("*").alias("n")).filter("n > 1")
-    placed = durable(rows.join(shared, "bucket").select("bucket", "code", "at", "n", F.col("pick").bitwiseXOR(F.col("bucket")).alias("rep")), "near-copies-placed")
-    texts = durable(prints.select("at", "code", "text").join(placed.select("at").distinct(), "at", "left_semi").select("code", "text"), "near-copies-texts")
-    found = durable(checked(placed.filter("code <> rep").select(F.col("code").alias("a"), F.col("rep").alias("b")), texts, width, least), "near-copies-links")
-    roots = components(found)
+    rows = codes.select("code", F.explode("buckets").alias("bucket"), salted("code").alias("salt"))
+    shared = rows.groupBy("bucket").agg(F.min(F.col("code").bitwiseXOR(F.col("bucket"))).alias("pick"), F.count("*").alias("n"), salts_of("salt").alias("salts")).filter("n > 1")
+    shared = with_root(shared.select("bucket", "n", "salts", F.col("pick").bitwiseXOR(F.col("bucket")).alias("rep")), roots, "rep", "rep_root").withColumn("salt", each_salt("salts"))
+    placed = rows.join(shared, ["bucket", "salt"]).select("bucket", "salt", "code", "n", "rep", "rep_root")
+    placed = durable(with_root(placed, roots, "code", "root"), "near-copies-placed")
+    texts = texts_of(placed.select("code"), "near-copies-texts")
+    star = placed.filter("root <> rep_root").select(F.col("code").alias("a"), F.col("rep").alias("b"))
+    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(checked(star, texts, width, least).union(known))
     more = durable(checked(between(placed, roots, texts, width, least), texts, width, least), "near-copies-more")
     if not more.isEmpty():
-        roots = components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        roots = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    release(texts, placed, more)
     named = prints.select("code", "salt").distinct().join(roots, F.col("code") == F.col("node"), "left").select("code", "salt", F.coalesce("root", "code").alias("root"))
     return prints.select(key, *carry, "code", "salt").join(named, ["code", "salt"]).select(key, *carry, "root")

@@ -45,6 +45,15 @@ SALTS = 64
 # ---------------------------------------------------------------- fingerprints
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is 1 if it is set in over half of the hashes; 0 of none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65_536):  # bounded memory for very long texts
+        part = np.asarray(hashes[at : at + 65_536], "<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int) -> int:
     """Bit b is 1 if it is set in over half of the shingle hashes.  A null text has no words; without words the fingerprint is 0."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: lower() changes A-Z only, split() takes U+0020 and U+0009 to U+000D
@@ -59,11 +68,7 @@ def fingerprint(text: str | None, width: int) -> int:
         ends = np.cumsum(lengths + 1) - 1
         starts, ends = (ends - lengths)[:n].tolist(), ends[width - 1 :].tolist()
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)]
-    counts = np.zeros(BITS, np.int64)
-    for at in range(0, n, 65_536):  # bounded memory for very long texts
-        part = np.array(hashes[at : at + 65_536], "<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return majority(np.array(hashes, np.uint64))
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", width: int = 4, name: str = "fingerprint") -> DataFrame:
@@ -230,7 +235,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     """``key``, the columns ``carry``, ``fingerprint`` bigint and ``component_id``: the least key that the row reaches over links, itself included.
 
     Exact and repeated texts share a fingerprint and so a component; null and wordless texts have fingerprint 0 and link like any other.
-    An empty table gives an empty result.  Only keys and 8-byte codes move, never texts.
+    Repeated rows each have a result, as have rows that share a key; a component of rows without a key has none.
+    An empty table gives an empty result.  Only keys and 8-byte codes move, never texts.  Columns ``carry`` may have any name but those of the result and ``salt``.
     """
     prints = durable(with_fingerprint(df.select(key, *carry, text), text, width), "simhash").withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     # Per code, however many rows share it, one row from here on.

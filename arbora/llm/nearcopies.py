@@ -4,8 +4,8 @@
 at 0.8 two fingerprints differ in 10 bits of 64 on average, a radius in which the index would have to be asked about most of a large corpus.
 
 **Beyond the radius.**  ``BANDS`` bands of ``ROWS`` minima each: two sets of similarity s agree on a band with chance s^ROWS, so of the pairs at 0.8
-about 5 in 10^8 agree on none.  Sets that agree on a band share a bucket.  Each member of a bucket whose component is another than that of one
-member, another in each band, is compared with it, which joins large groups of copies without all their pairs.  Buckets that then still hold
+about 5 in 10^8 agree on none.  Sets that agree on a band share a bucket.  Each member of a bucket is
+compared with one member, another in each band, which joins large groups of copies without all their pairs.  Buckets that then still hold
 several components have all pairs between these compared, but for those that sizes and parity sketches rule out: a bit of a sketch is the
 parity of the shingles that fall on it, so two sets differ in at least as many shingles as their sketches in bits.
 
@@ -192,10 +192,6 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", carry: t
     first = prints.groupBy("code").agg(F.min("at").alias("at"))
     codes = durable(prints.select("at", "code", "fingerprint", "buckets").join(first.select("at"), "at", "left_semi"), "near-copies-codes")
 
-    def texts_of(wanted: DataFrame, label: str) -> DataFrame:
-        places = codes.select("code", "at").join(wanted.distinct(), "code", "left_semi").select("at")
-        return durable(prints.select("at", "code", "text").join(places, "at", "left_semi").select("code", "text"), label)
-
     # Codes of a fingerprint with the least of them, and those of fingerprints that the index links.
     named = simhash.with_least(codes.select("fingerprint", "code"), "fingerprint", "code", "code", "rep")
     reps = codes.groupBy("fingerprint").agg(F.min("code").alias("rep"))
@@ -203,24 +199,19 @@ def near_copies(df: DataFrame, key: str = "doc_id", text: str = "text", carry: t
     for end in ("a", "b"):
         near = near.join(reps.select(F.col("fingerprint").alias(end), F.col("rep").alias(f"{end}_rep")), end)
     pairs = named.filter("code <> rep").select(F.col("code").alias("a"), F.col("rep").alias("b")).union(near.select("a_rep", "b_rep"))
-    pairs = durable(pairs.filter("a <> b").distinct(), "near-copies-simhash")
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("code")), "near-copies-simhash-texts")
-    roots = components(checked(pairs, texts, width, least))
-    release(texts, pairs)
-
     # The least of code xor bucket is another member in each band.
     rows = codes.select("code", F.explode("buckets").alias("bucket"), salted("code").alias("salt"))
     shared = rows.groupBy("bucket").agg(F.min(F.col("code").bitwiseXOR(F.col("bucket"))).alias("pick"), F.count("*").alias("n"), salts_of("salt").alias("salts")).filter("n > 1")
-    shared = with_root(shared.select("bucket", "n", "salts", F.col("pick").bitwiseXOR(F.col("bucket")).alias("rep")), roots, "rep", "rep_root").withColumn("salt", each_salt("salts"))
-    placed = rows.join(shared, ["bucket", "salt"]).select("bucket", "salt", "code", "n", "rep", "rep_root")
-    placed = durable(with_root(placed, roots, "code", "root"), "near-copies-placed")
-    texts = texts_of(placed.select("code"), "near-copies-texts")
-    star = placed.filter("root <> rep_root").select(F.col("code").alias("a"), F.col("rep").alias("b"))
-    known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(checked(star, texts, width, least).union(known))
+    shared = shared.select("bucket", "n", F.col("pick").bitwiseXOR(F.col("bucket")).alias("rep"), each_salt("salts").alias("salt"))
+    placed = durable(rows.join(shared, ["bucket", "salt"]).select("bucket", "salt", "code", "n", "rep"), "near-copies-placed")
+    pairs = durable(pairs.union(placed.select("code", "rep")).filter("a <> b").distinct(), "near-copies-pairs")
+    places = codes.select("code", "at").join(pairs.select(F.explode(F.array("a", "b")).alias("code")).distinct(), "code", "left_semi").select("at")
+    texts = durable(prints.select("at", "code", "text").join(places, "at", "left_semi").select("code", "text"), "near-copies-texts")
+    found = durable(checked(pairs, texts, width, least), "near-copies-links")
+    roots = components(found)
     more = durable(checked(between(placed, roots, texts, width, least), texts, width, least), "near-copies-more")
     if not more.isEmpty():
         roots = components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    release(texts, placed, more)
+    release(texts, placed, pairs, found, more)
     named = prints.select("code", "salt").distinct().join(roots, F.col("code") == F.col("node"), "left").select("code", "salt", F.coalesce("root", "code").alias("root"))
     return prints.select(key, *carry, "code", "salt").join(named, ["code", "salt"]).select(key, *carry, "root")

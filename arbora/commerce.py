@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.operators.match import store
+
 #: The same edges as a common table expression for an engine that has the tables as views.
 EDGES_SQL = """
 ol AS (SELECT c_nationkey AS t, concat('order:', o_orderkey) AS o, concat('part:', l_partkey) AS p, concat('supplier:', l_suppkey) AS s, l_returnflag AS f
@@ -58,8 +60,23 @@ def _edge(df: DataFrame, src: str, label: Column | str, dst: str, repeats: bool
     return out.distinct() if repeats else out
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as a stored graph, written once for each application and folder, as a project's graph is loaded once for all that is asked of it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORED:
+        _STORED[key] = store(made_edges(spark, sf_dir))
+    return _STORED[key]
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All edges.  Labels of different parts differ, so only the parts that repeat rows are made distinct."""
+    return stored(spark, sf_dir).select("target_id", "src", "label", "dst")
+
+
+def made_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges from the tables.  Labels of different parts differ, so only the parts that repeat rows are made distinct."""
     t = Commerce(spark, sf_dir)
     of = lambda kind, column: F.concat(F.lit(f"annotation.{kind}="), F.col(column))
     parts = [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -13,9 +14,8 @@ from pyspark.sql import types as T
 
 # Fixed value: what counts as an e-mail address.
 EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
-#: Pieces of a name up to this length are replaced only where no letter touches them.
+# Names up to this length are replaced only where no letter touches them; names that are ordinary words of programs.
 SHORT_NAME = 4
-#: Pieces of names that are ordinary words.
 ORDINARY = frozenset({"max", "floor"})
 
 
@@ -30,8 +30,8 @@ def unaccent(text: pd.Series) -> pd.Series:
 
 
 def exactly(text: str) -> str:
-    """A pattern for ``text`` itself, whatever its case.  Signs are escaped, so any engine reads it alike."""
-    return "(?i)" + re.sub(r"([^\w\s])", r"\\\1", text)
+    """A pattern for ``text`` itself, whatever its case (of all letters, not of ASCII's alone).  Signs are escaped, so any engine reads it alike."""
+    return "(?iu)" + re.sub(r"([^\w\s])", r"\\\1", text)
 
 
 @dataclass(frozen=True)
@@ -54,9 +54,9 @@ def replace_emails(text: Column, alias: str = "user@example.com") -> Column:
 
 
 def alias_emails(text: Column, salt: str = "") -> Column:
-    """The text with every address replaced by a digest of the text's first one: the same text has the same alias."""
-    digest = F.substring(F.sha2(F.concat(F.lit(salt), F.regexp_extract(text, EMAIL, 0)), 256), 1, 10)
-    return F.when(F.regexp_extract(text, EMAIL, 0) == "", text).otherwise(F.regexp_replace(text, F.lit(EMAIL), F.concat(digest, F.lit("@example.com"))))
+    """The text with each address replaced by a digest of itself in lower case: the same address has the same alias wherever it stands, others have others."""
+    aliases = F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda x: F.concat(F.substring(F.sha2(F.concat(F.lit(salt), F.lower(x)), 256), 1, 10), F.lit("@example.com")))
+    return F.array_join(F.zip_with(F.split(text, EMAIL, -1), aliases, lambda between, alias: F.concat(between, F.coalesce(alias, F.lit("")))), "")
 
 
 def name_alias(name: str, salt: str = "") -> str:
@@ -72,20 +72,39 @@ def number_alias(number: str, salt: str = "") -> str:
 
 
 def student_rules(name: str, number: str | None, salt: str = "") -> list[Rule]:
-    """Rules for one student: the number, then each piece of the name, with and without accents.
+    """Rules for one student, named "Last, First": the number; then each of the names as it is, with and without accents; then the words of names of several.
 
-    A piece over ``SHORT_NAME`` letters goes anywhere; a shorter one only between non-letters, which stay; ordinary words stay.
+    A name over ``SHORT_NAME`` letters goes anywhere, a shorter one only between non-letters, which stay.  Of the words of a name only those over
+    ``SHORT_NAME`` letters go, so that particles ("de", "van") stay where they are no name by themselves.  Ordinary words stay.
     """
     rules = [Rule(exactly(number), number_alias(number, salt))] if number else []
-    for piece in re.split(r"[\s,]+", name):
-        if len(piece) < 2 or piece.lower() in ORDINARY:
+
+    def anywhere(piece: str) -> None:
+        rules.extend(Rule(exactly(form), name_alias(piece, salt)) for form in dict.fromkeys((piece, strip_accents(piece))))
+
+    names = [n.strip() for n in name.split(",") if n.strip()]
+    for n in names:
+        if n.lower() in ORDINARY:
             continue
-        for form in dict.fromkeys((piece, strip_accents(piece))):
-            alias = name_alias(piece, salt)
-            rules.append(Rule(exactly(form), alias) if len(form) > SHORT_NAME else Rule(rf"(?i)(^|[^a-z])({re.escape(form)})([^a-z]|$)", f"$1{alias}$3"))
+        if len(n) > SHORT_NAME:
+            anywhere(n)
+        else:
+            rules.extend(Rule(rf"(?iu)(^|[^a-zA-Z])({exactly(form).removeprefix('(?iu)')})([^a-zA-Z]|$)", f"$1{name_alias(n, salt)}$3") for form in dict.fromkeys((n, strip_accents(n))))
+    for n in names:
+        for part in n.split():
+            if len(part) > SHORT_NAME and part != n and part.lower() not in ORDINARY:
+                anywhere(part)
     return rules
 
 
-def map_strings(column: Column, f) -> Column:
-    """``f`` on every element of an array of strings."""
-    return F.transform(column, f)
+def map_strings(column: Column, kind: T.DataType, f: Callable[[Column], Column]) -> Column:
+    """``f`` on every string of a column of type ``kind``, however deep in structs, arrays and the values of maps; all else stays."""
+    if isinstance(kind, T.StringType):
+        return f(column)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(column, lambda x: map_strings(x, kind.elementType, f))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(column, lambda _, x: map_strings(x, kind.valueType, f))
+    if isinstance(kind, T.StructType):
+        return F.when(column.isNotNull(), F.struct(*[map_strings(column[x.name], x.dataType, f).alias(x.name) for x in kind.fields]))
+    return column

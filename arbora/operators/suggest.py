@@ -68,9 +68,34 @@ def samples(occurrences: DataFrame, n: int = 3) -> DataFrame:
 
 
 def select_extensions(extensions: DataFrame, ties: list[str | Column]) -> DataFrame:
-    """Per query the ``FIRST`` most frequent, then up to ``MORE`` of those left that are rarer than ``RARE``; ties by ``ties``."""
-    order = [F.desc("fraction"), *ties]
-    ranked = extensions.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    rare = (F.col("rank") > FIRST) & (F.col("fraction") < RARE)
-    ranked = ranked.withColumn("rare", rare).withColumn("rare_rank", F.when(rare, F.row_number().over(Window.partitionBy("query_id", "rare").orderBy(*order))))
-    return ranked.filter((F.col("rank") <= FIRST) | (F.col("rare_rank") <= MORE)).drop("rare", "rare_rank")
+    """Per query the ``FIRST`` most frequent, then up to ``MORE`` of those left that are rarer than ``RARE``; ties by ``ties``; ``rank`` is the place among all.
+
+    A rare extension's place is its place among the rare ones after all frequent ones, so each part takes its first few before anything moves.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("fraction"), *ties)
+    at = F.row_number().over(order)
+    frequent = extensions.filter(F.col("fraction") >= RARE).withColumn("rank", at).filter(F.col("rank") <= FIRST)
+    before = extensions.groupBy("query_id").agg(F.count_if(F.col("fraction") >= RARE).alias("__before"))
+    rare = extensions.filter(F.col("fraction") < RARE).withColumn("rank", at).filter(F.col("rank") <= FIRST + MORE).join(before, "query_id")
+    rare = rare.filter(F.col("rank") <= MORE + F.greatest(F.lit(0), FIRST - F.col("__before"))).withColumn("rank", F.col("rank") + F.col("__before"))
+    return frequent.withColumn("rank", F.col("rank").cast("bigint")).unionByName(rare.drop("__before"))
+
+
+def extension_lines(edges: DataFrame, nodes: DataFrame, seen: DataFrame) -> DataFrame:
+    """The text of chosen extensions as lines: ``query_id``, ``part`` (of edges 0, of nodes 1), ``rank``, ``place`` and ``line``, which in this order make it.
+
+    ``edges`` and ``nodes`` are chosen extensions with ``rank``; ``seen`` are ``samples`` of neighbours, of which each node extension shows its own.
+    """
+    share = F.concat(F.lit("  - ["), F.format_string("%.2f", "fraction"), F.lit("]"))
+    show = lambda rows, part, lines: rows.select("query_id", F.lit(part).alias("part"), F.col("rank").cast("bigint").alias("rank"), F.posexplode(lines).alias("place", "line"))
+    indented = lambda *parts: F.concat(F.lit("    "), *parts)
+    marked = lambda column, a, b: F.transform(column, lambda x: indented(F.lit(f"{a} "), x, F.lit(f" {b}")))
+    of_edges = show(edges, 0, F.array(share, indented("qsrc"), indented(F.lit("> "), F.col("label"), F.lit(" >")), indented("qdst")))
+    where = seen.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct(KEY, "other"))).alias("where"))  # a few for each group
+    found = nodes.join(where, list(GROUP), "left")
+    shown = F.flatten(F.transform(F.coalesce("where", F.array().cast(where.schema["where"].dataType)), lambda x: F.array(indented(F.lit("= "), x["other"]), F.concat(F.lit("      in "), x[KEY].cast("string")))))
+    of_nodes = show(found, 1, F.concat(F.array(share, indented("qnode")), marked("outgoing", ">", ">"), marked("incoming", "<", "<"), marked("loops", "|", "|"), shown))
+    queries = edges.select("query_id").union(nodes.select("query_id")).distinct()
+    titles = F.array(F.struct(F.lit(0).alias("part"), F.concat(F.lit("- "), "query_id", F.lit("\n  Edges:")).alias("line")), F.struct(F.lit(1).alias("part"), F.lit("  Nodes:").alias("line")))
+    head = queries.select("query_id", F.explode(titles).alias("t")).select("query_id", "t.part", F.lit(0).cast("bigint").alias("rank"), F.lit(0).alias("place"), "t.line")
+    return head.union(of_edges).union(of_nodes)

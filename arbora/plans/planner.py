@@ -86,6 +86,57 @@ def forest(trees: tuple[PatternTree, ...]) -> list[TreeNode]:
     return [flatten(t, f"query_{i}") for i, t in enumerate(trees)]
 
 
+@dataclass(frozen=True)
+class Member:
+    """A node of a group: its parent's id, and its labels where the group's differ."""
+
+    parent: str | None
+    node: TreeNode
+    labels: tuple[str, ...]
+
+
+@dataclass(frozen=True)
+class Group:
+    """Tree nodes of one verdict whose own edges join the same variables and differ in labels alone, under parents of one group."""
+
+    verdict: str
+    members: tuple[Member, ...]
+    edges: tuple[tuple[str, tuple[str, ...], str], ...]  # each with its labels, one if all members agree
+    children: tuple[Group, ...]
+
+    def template(self) -> tuple[frozenset[Edge], dict[str, tuple[str, ...]]]:
+        """The edges, with ``$0``, ``$1``, ... where labels differ, and what these may be."""
+        several = {f"${i}": tuple(sorted(set(labels))) for i, labels in enumerate(x for _, x, _ in self.edges if len(x) > 1)}
+        names = iter(several)
+        return frozenset((s, next(names) if len(labels) > 1 else labels[0], d) for s, labels, d in self.edges), several
+
+
+def _shape(node: TreeNode) -> tuple:
+    """What nodes of a group have in common: verdict and, in order, ends and kinds of their own edges."""
+    return node.verdict, tuple((s, d, label.partition("=")[0]) for s, label, d in _ordered(node))
+
+
+def _ordered(node: TreeNode) -> list[Edge]:
+    return sorted(node.own, key=lambda e: (e[0], e[2], e[1]))
+
+
+def groups(nodes: list[TreeNode], parents: list[str | None] | None = None) -> tuple[Group, ...]:
+    """Nodes (``parents``: the id of each one's parent) by shape, and their children likewise."""
+    parents = parents or [None] * len(nodes)
+    by: dict[tuple, list[tuple[str | None, TreeNode]]] = {}
+    for parent, node in zip(parents, nodes, strict=True):
+        by.setdefault(_shape(node), []).append((parent, node))
+    found = []
+    for (verdict, _), some in by.items():
+        columns = list(zip(*(_ordered(n) for _, n in some), strict=True))
+        differ = [len({e[1] for e in column}) > 1 for column in columns]
+        edges = tuple((c[0][0], tuple(e[1] for e in c) if d else (c[0][1],), c[0][2]) for c, d in zip(columns, differ, strict=True))
+        members = tuple(Member(p, n, tuple(e[1] for e, d in zip(_ordered(n), differ, strict=True) if d)) for p, n in some)
+        below = [(n.query_id, c) for _, n in some for c in n.children]
+        found.append(Group(verdict, members, edges, groups([c for _, c in below], [p for p, _ in below])))
+    return tuple(found)
+
+
 def query_edges(nodes: list[TreeNode], above: frozenset[Edge] = frozenset()) -> list[tuple[str, str, str, str]]:
     """(query_id, src, label, dst) of every node, ancestors' edges included."""
     rows = []

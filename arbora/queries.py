@@ -6,7 +6,7 @@ Results are flat; sets of labels are joined to text; fractions are rounded to si
 from __future__ import annotations
 
 from collections.abc import Callable
-
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,8 @@ from arbora.functions import arrays, text
 from arbora.model import Criterion, PatternTree, family
 from arbora.operators import extract, features, graph, match, report, suggest
 from arbora.plans import planner
-from arbora.sources import formats, typegraph
+from arbora.sources import codecs, formats, typegraph
+from arbora.storage import durable
 from arbora.streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,8 +196,12 @@ def mg_extend(spark: SparkSession, d: str) -> DataFrame:
 SELECT target_id, node, coalesce(string_agg(t, ',' ORDER BY t) FILTER (way = 'i'), '') AS incoming, coalesce(string_agg(t, ',' ORDER BY t) FILTER (way = 'o'), '') AS outgoing, coalesce(max(t) FILTER (way = 'l'), '') AS loops FROM s GROUP BY ALL"""
 )
 def mg_signatures(spark: SparkSession, d: str) -> DataFrame:
+    return _signature_text(graph.signatures(commerce.edges(spark, d)))
+
+
+def _signature_text(signatures: DataFrame) -> DataFrame:
     text_of = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: F.array_join(x, "+"))), ",")
-    return graph.signatures(commerce.edges(spark, d)).select("target_id", "node", text_of("incoming").alias("incoming"), text_of("outgoing").alias("outgoing"), joined("loops").alias("loops"))
+    return signatures.select("target_id", "node", text_of("incoming").alias("incoming"), text_of("outgoing").alias("outgoing"), joined("loops").alias("loops"))
 
 
 # ---------------------------------------------------------------- features, set keys, boxes
@@ -230,6 +235,24 @@ def neighbourhood_search(spark: SparkSession, d: str) -> DataFrame:
     return features.neighbourhood(commerce.edges(spark, d), set(), {"dependsOn", "accessesField"})
 
 
+@query(WITH + PAIRS + ", o AS (SELECT * FROM pairs WHERE src <> dst AND list_contains(labels, 'contains')) SELECT target_id, dst AS node, src AS neighbour FROM o")
+def neighbourhood_incoming(spark: SparkSession, d: str) -> DataFrame:
+    return features.neighbourhood(commerce.edges(spark, d), {"contains"}, set())
+
+
+@query(WITH + " SELECT a.target_id, a.src AS node, a.dst AS neighbour FROM edges a JOIN (SELECT target_id, src, dst FROM edges WHERE label = 'dependsOn') b ON a.target_id = b.target_id AND a.src = b.src AND a.dst = b.dst WHERE a.label = 'accessesField' AND a.src <> a.dst")
+def neighbourhood_both(spark: SparkSession, d: str) -> DataFrame:
+    """With each edge ``accessesField`` turned round, so that some pairs have labels both ways."""
+    g = commerce.edges(spark, d)
+    turned = g.filter("label = 'accessesField'").select("target_id", F.col("dst").alias("src"), "label", F.col("src").alias("dst"))
+    return features.neighbourhood(g.filter("label = 'dependsOn'").union(turned), {"accessesField"}, {"dependsOn"})
+
+
+@query(WITH + " SELECT target_id, CAST(NULL AS VARCHAR) AS node, src AS neighbour FROM edges UNION SELECT target_id, NULL, dst FROM edges")
+def neighbourhood_any(spark: SparkSession, d: str) -> DataFrame:
+    return features.neighbourhood(commerce.edges(spark, d), set(), set())
+
+
 def _set_query(test: Callable[[F.Column, F.Column], F.Column], word: list[str]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         pairs = graph.condense(commerce.edges(spark, d))
@@ -263,8 +286,8 @@ _BOX = "WITH b AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS x1, CAST(floor(p_
 _WINDOW = ([10, 11], [30, 16])
 
 
-def _window() -> arrays.Box:
-    return arrays.Box(*(F.array(*[F.lit(v).cast("bigint") for v in side]) for side in _WINDOW))
+def _window(low: list[int] = _WINDOW[0], high: list[int] = _WINDOW[1]) -> arrays.Box:
+    return arrays.Box(*(F.array(*[F.lit(v).cast("bigint") for v in side]) for side in (low, high)))
 
 
 def _box_query(test: Callable[[arrays.Box, arrays.Box], F.Column]) -> Query:
@@ -275,7 +298,7 @@ def _box_query(test: Callable[[arrays.Box, arrays.Box], F.Column]) -> Query:
 
 
 for _name, _test, _sql in (
-    ("rect_inside", lambda b, w: b.inside(w), "x1 >= 10 AND y1 >= 11 AND x2 <= 30 AND y2 <= 16"),
+    ("rect_inside", lambda b, w: b.inside(_window([8, 9], [45, 24])), "x1 >= 8 AND y1 >= 9 AND x2 <= 45 AND y2 <= 24"),
     ("rect_contains", lambda b, w: arrays.Box.point(F.array(F.lit(20).cast("bigint"), F.lit(14).cast("bigint"))).inside(b), "x1 <= 20 AND x2 >= 20 AND y1 <= 14 AND y2 >= 14"),
     ("rect_intersects_ref", lambda b, w: b.intersects(w), "NOT ((x1 > 30 AND y1 > 16) OR (x2 < 10 AND y2 < 11))"),
     ("rect_intersects_strict", lambda b, w: b.meets(w), "x1 <= 30 AND x2 >= 10 AND y1 <= 16 AND y2 >= 11"),
@@ -300,6 +323,33 @@ def rect_wrap_all(spark: SparkSession, d: str) -> DataFrame:
     return _boxes(spark, d).groupBy((F.col("p_partkey") % 50).alias("g")).agg(at(low, 0).alias("x1"), at(high, 1).alias("y2"), at(ilow, 0).alias("ix1"), at(ihigh, 1).alias("iy2"))
 
 
+@query(_BOX + "SELECT p_partkey FROM b WHERE x1 <= 30 AND x2 >= 10 AND y1 <= 16 AND y2 >= 11")
+def rect_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """From a stored layout whose file statistics skip most boxes."""
+    at = lambda c, k: F.get(c, F.lit(k))
+    flat = _boxes(spark, d).select("p_partkey", at("low", 0).alias("x1"), at("low", 1).alias("y1"), at("high", 0).alias("x2"), at("high", 1).alias("y2"))
+    return durable(features.clustered(flat, 8, "x1", "y1"), "boxes").filter("x1 <= 30 and x2 >= 10 and y1 <= 16 and y2 >= 11").select("p_partkey")
+
+
+@query(_BOX + "SELECT p_partkey, x1, y1, x2, y2 FROM b")
+def codec_boxes(spark: SparkSession, d: str) -> DataFrame:
+    text_ = _boxes(spark, d).select("p_partkey", codecs.encode_box(arrays.Box(F.col("low"), F.col("high"))).alias("value"))
+    box, at = codecs.decode_box(F.col("value")), lambda c, k: F.get(c, F.lit(k))
+    return text_.select("p_partkey", at(box.low, 0).alias("x1"), at(box.low, 1).alias("y1"), at(box.high, 0).alias("x2"), at(box.high, 1).alias("y2"))
+
+
+@query(ORACLES["mg_signatures"])
+def codec_signatures(spark: SparkSession, d: str) -> DataFrame:
+    texts = graph.signatures(commerce.edges(spark, d)).select("target_id", "node", codecs.encode_signature("incoming", "outgoing", "loops").alias("value"))
+    return _signature_text(texts.select("target_id", "node", codecs.decode_signature(F.col("value")).alias("s")).select("target_id", "node", "s.*"))
+
+
+@query(ORACLES["mg_encode"])
+def codec_multigraph(spark: SparkSession, d: str) -> DataFrame:
+    g = commerce.edges(spark, d)
+    return codecs.decode_graphs(codecs.encode_graphs(graph.encode(g, graph.dictionary(g)), graph.node_count(g)))
+
+
 # ---------------------------------------------------------------- pattern search
 
 
@@ -315,38 +365,38 @@ _CHAIN_SQL = LINKS + """, m AS (SELECT a.target_id, a.src AS c, a.dst AS o, b.ds
 
 @query(WITH + _CHAIN_SQL + " SELECT * FROM m")
 def match_chain(spark: SparkSession, d: str) -> DataFrame:
-    return match.search(commerce.edges(spark, d), CHAIN)
+    return match.search(commerce.stored(spark, d), CHAIN)
 
 
 @query(WITH + LINKS + " SELECT a.target_id, a.src AS o, a.dst AS p FROM links a JOIN links b USING (target_id, src, dst) WHERE a.label = 'dependsOn' AND b.label = 'accessesField'")
 def match_multilabel(spark: SparkSession, d: str) -> DataFrame:
-    return match.search(commerce.edges(spark, d), {("o", "dependsOn", "p"), ("o", "accessesField", "p")})
+    return match.search(commerce.stored(spark, d), {("o", "dependsOn", "p"), ("o", "accessesField", "p")})
 
 
 @query(WITH + LINKS + " SELECT a.target_id, a.src AS o1, b.src AS o2, a.dst AS p FROM links a JOIN links b ON a.target_id = b.target_id AND a.dst = b.dst AND a.src <> b.src WHERE a.label = 'dependsOn' AND b.label = 'dependsOn'")
 def match_shared(spark: SparkSession, d: str) -> DataFrame:
-    return match.search(commerce.edges(spark, d), {("o1", "dependsOn", "p"), ("o2", "dependsOn", "p")})
+    return match.search(commerce.stored(spark, d), {("o1", "dependsOn", "p"), ("o2", "dependsOn", "p")})
 
 
 @query(WITH + LINKS + " SELECT a.target_id, a.node AS c1, b.node AS c2 FROM loops a JOIN loops b ON a.target_id = b.target_id AND a.node <> b.node WHERE a.label = 'annotation.nameClass=BUILDING' AND b.label = 'annotation.nameClass=MACHINERY'")
 def match_disconnected(spark: SparkSession, d: str) -> DataFrame:
-    return match.search(commerce.edges(spark, d), {_loop("c1", "nameClass", "BUILDING"), _loop("c2", "nameClass", "MACHINERY")})
+    return match.search(commerce.stored(spark, d), {_loop("c1", "nameClass", "BUILDING"), _loop("c2", "nameClass", "MACHINERY")})
 
 
 @query(WITH + LINKS + " SELECT a.target_id, a.node AS o FROM loops a JOIN loops b USING (target_id, node) WHERE a.label = 'annotation.modifier=F' AND b.label = 'annotation.nameClass=1-URGENT'")
 def match_loop_only(spark: SparkSession, d: str) -> DataFrame:
-    return match.search(commerce.edges(spark, d), {_loop("o", "modifier", "F"), _loop("o", "nameClass", "1-URGENT")})
+    return match.search(commerce.stored(spark, d), {_loop("o", "modifier", "F"), _loop("o", "nameClass", "1-URGENT")})
 
 
 @query(WITH + LINKS + " SELECT a.target_id, a.src AS o, a.dst AS p FROM links a JOIN links b USING (target_id, src, dst) WHERE a.label = 'dependsOn' AND b.label = 'accessesField'")
 def match_verify(spark: SparkSession, d: str) -> DataFrame:
-    g = commerce.edges(spark, d)
+    g = commerce.stored(spark, d)
     return match.verify(g, match.search(g, {("o", "dependsOn", "p")}), {("o", "dependsOn", "p"), ("o", "accessesField", "p")})
 
 
 @query(WITH + _CHAIN_SQL + " SELECT m.*, l.dst AS s FROM m JOIN links l ON l.target_id = m.target_id AND l.src = o AND l.label = 'invokes' WHERE l.dst NOT IN (c, o, p)")
 def match_extended(spark: SparkSession, d: str) -> DataFrame:
-    g = commerce.edges(spark, d)
+    g = commerce.stored(spark, d)
     return match.search_extended(g, match.search(g, CHAIN), CHAIN, {("o", "invokes", "s")})
 
 
@@ -391,23 +441,23 @@ def _flat(matches: DataFrame) -> DataFrame:
 
 
 def _matches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    g = commerce.edges(spark, d)
+    g = commerce.stored(spark, d)
     return g, report.assess(g, [STATUS, UNRETURNED, PRIORITIES])
 
 
 @query(WITH + _STATUS_SQL + " SELECT * FROM status")
 def tree_exception(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(match.search_trees(commerce.edges(spark, d), STATUS.patterns))
+    return _flat(match.search_trees(commerce.stored(spark, d), STATUS.patterns))
 
 
 @query(WITH + _STATUS_SQL + " SELECT * FROM unret")
 def tree_unused(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(match.search_trees(commerce.edges(spark, d), UNRETURNED.patterns))
+    return _flat(match.search_trees(commerce.stored(spark, d), UNRETURNED.patterns))
 
 
 @query(WITH + _STATUS_SQL + " SELECT * FROM prio")
 def tree_family(spark: SparkSession, d: str) -> DataFrame:
-    return _flat(match.search_trees(commerce.edges(spark, d), PRIORITIES.patterns))
+    return _flat(match.search_trees(commerce.stored(spark, d), PRIORITIES.patterns))
 
 
 @query(WITH + _STATUS_SQL + " SELECT target_id, criterion, verdict, count(*) AS n FROM matches GROUP BY ALL")
@@ -431,15 +481,28 @@ def verdict_details(spark: SparkSession, d: str) -> DataFrame:
     return report.details(_matches(spark, d)[1])
 
 
-@query()
+_LINES_SQL = (
+    _STATUS_SQL
+    + """, per AS (SELECT target_id, criterion, verdict, count(*) AS n, CAST(CASE verdict WHEN 'positive' THEN 0 WHEN 'negative' THEN 1 ELSE 2 END AS INT) AS rank FROM matches GROUP BY ALL),
+named AS (SELECT *, upper(left(verdict, 1)) || substr(verdict, 2) AS title FROM per),
+counted AS (SELECT target_id, criterion, '  ' || string_agg(title || ': ' || n, ' / ' ORDER BY rank) AS line FROM named GROUP BY ALL),
+listed AS (SELECT target_id, criterion, CAST(CASE verdict WHEN 'positive' THEN 0 ELSE 1 END AS INT) AS rank, query_id, '  - ' || upper(left(verdict, 1)) || substr(verdict, 2) || ' / ' || query_id || chr(10)
+  || '    - `' || replace(replace(mapping, '=', '` ->' || chr(10) || '      `'), '|', '`' || chr(10) || '    - `') || '`' AS line FROM matches WHERE verdict <> 'neutral'),
+body AS (SELECT target_id, criterion, CAST(1 AS INT) AS part, CAST(-1 AS INT) AS rank, '' AS query_id, line FROM counted UNION ALL SELECT target_id, criterion, CAST(2 AS INT), rank, query_id, line FROM listed)"""
+)
+_AVERAGE_SQL = """, mean AS (SELECT criterion, title, rank, sum(n) / (SELECT count(DISTINCT target_id) FROM edges) AS average FROM named GROUP BY ALL),
+tail AS (SELECT DISTINCT criterion, CAST(-1 AS INT) AS rank, '- Average:' AS line FROM mean UNION ALL SELECT criterion, rank, '  ' || title || ': ' || printf('%.1f', average) FROM mean)"""
+
+
+@query(WITH + _LINES_SQL + " SELECT * FROM body UNION ALL SELECT DISTINCT target_id, criterion, CAST(0 AS INT), CAST(-1 AS INT), '', '- ' || criterion FROM per")
 def report_targets(spark: SparkSession, d: str) -> DataFrame:
-    return report.target_reports(_matches(spark, d)[1])
+    return report.target_reports(durable(_matches(spark, d)[1], "matches"))
 
 
-@query()
+@query(WITH + _LINES_SQL + _AVERAGE_SQL + " SELECT * FROM body UNION ALL SELECT DISTINCT target_id, criterion, CAST(0 AS INT), CAST(-1 AS INT), '', '- ' || target_id FROM per UNION ALL SELECT NULL, criterion, CAST(3 AS INT), rank, '', line FROM tail")
 def report_criteria(spark: SparkSession, d: str) -> DataFrame:
     g, found = _matches(spark, d)
-    return report.criterion_reports(found, g)
+    return report.criterion_reports(durable(found, "matches"), g)
 
 
 # ---------------------------------------------------------------- suggested extensions
@@ -492,13 +555,37 @@ def ext_select(spark: SparkSession, d: str) -> DataFrame:
     return suggest.select_extensions(flat, ["qnode", "loops", "outgoing", "incoming"]).select("query_id", "qnode", "loops", "outgoing", "incoming", "fraction", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
+@query(
+    WITH
+    + _SEED_SQL
+    + """, s AS (SELECT occ.target_id, q AS qnode, coalesce(loops, '') AS loops, outgoing, incoming, occ.other, occ.id FROM occ LEFT JOIN lp USING (target_id, other)),
+one AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qnode, loops, outgoing, incoming, target_id ORDER BY id, other) = 1)
+SELECT target_id, 'query_0' AS query_id, qnode, loops, outgoing, incoming, other FROM one QUALIFY row_number() OVER (PARTITION BY qnode, loops, outgoing, incoming ORDER BY target_id) <= 3"""
+)
 def ext_samples(spark: SparkSession, d: str) -> DataFrame:
     g, found, _ = _seed(spark, d)
     flat = suggest.samples(suggest.node_occurrences(found, g))
     return flat.select("target_id", "query_id", "qnode", joined("loops").alias("loops"), joined("outgoing").alias("outgoing"), joined("incoming").alias("incoming"), "other")
 
 
+SEVERAL = (*SEED, PatternTree.of("positive", {("o", "accessesField", "p")}))
+
+
+@query(
+    WITH
+    + _SEED_SQL
+    + """, m2 AS (SELECT target_id, src AS o, dst AS p FROM links WHERE label = 'accessesField'), u2 AS (SELECT target_id, o || '|' || p AS id, 'o' AS q, o AS t FROM m2 UNION ALL SELECT target_id, o || '|' || p, 'p', p FROM m2),
+ext_2 AS (SELECT a.q AS qsrc, e.label, b.q AS qdst, round(count(*) / (SELECT count(*) FROM m2), 6) AS fraction FROM u2 a JOIN u2 b ON a.target_id = b.target_id AND a.id = b.id JOIN edges e ON e.target_id = a.target_id AND e.src = a.t AND e.dst = b.t
+  WHERE (a.q, e.label, b.q) <> ('o', 'accessesField', 'p') GROUP BY ALL)
+SELECT 'query_0' AS query_id, * FROM ext_e UNION ALL SELECT 'query_1', * FROM ext_2"""
+)
+def ext_several(spark: SparkSession, d: str) -> DataFrame:
+    """Extensions of two queries at once, each against its own matches."""
+    g = commerce.edges(spark, d)
+    known = spark.createDataFrame(planner.query_edges(planner.forest(SEVERAL)), "query_id string, src string, label string, dst string")
+    return suggest.edge_extensions(match.search_trees(commerce.stored(spark, d), SEVERAL), g, known).withColumn("fraction", F.round("fraction", 6))
+
+
 # ---------------------------------------------------------------- typegraphs from facts
 
 
@@ -546,6 +633,33 @@ def x_depends_on(spark: SparkSession, d: str) -> DataFrame:
     return extract.depends_on(facts(spark, d))
 
 
+@query(WITH + _UP + ", l AS (" + _LIFT("dependsOn", "up", "container") + ") SELECT DISTINCT * FROM l UNION SELECT l.target_id, t.dst, l.label, l.dst FROM l JOIN edges t ON t.target_id = l.target_id AND t.src = l.src AND t.label = 'contains' WHERE t.src LIKE 'nation:%' AND t.dst LIKE 'customer:%'")
+def x_depends_on_units(spark: SparkSession, d: str) -> DataFrame:
+    return extract.depends_on(facts(spark, d), units=True)
+
+
+@query(WITH + " SELECT target_id, src, 'overrides' AS label, dst FROM edges WHERE label = 'invokes' UNION ALL SELECT target_id, src, 'implements', dst FROM edges WHERE label = 'contains' AND src LIKE 'nation:%'")
+def x_overrides(spark: SparkSession, d: str) -> DataFrame:
+    t = commerce.Commerce(spark, d)
+    rel = lambda df, a, b: df.select("target_id", F.col(a).alias("from"), F.col(b).alias("to")).distinct()
+    more = replace(facts(spark, d), method_overrides=rel(t.line, "o", "s"), implements=rel(t.customer, "n", "c"))
+    return extract.structure(more).filter("label in ('overrides', 'implements')")
+
+
+@query(
+    WITH
+    + """ SELECT t AS target_id, concat('at ', o) AS src, 'controlDepends' AS label, concat('at ', min(o) OVER (PARTITION BY t, c)) AS dst FROM oc
+UNION SELECT t, concat('at ', o), 'dataDepends', concat('at ', o) FROM oc WHERE o_orderstatus = 'F'"""
+)
+def x_dependences(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as statements: each depends on its customer's first, finished ones on their own data."""
+    o = commerce.Commerce(spark, d).order.select("target_id", F.col("c").alias("method"), F.col("o").alias("id"), "o_orderstatus")
+    names = o.select("target_id", "method", "id", F.concat(F.lit("at "), "id").alias("location"))
+    first = o.groupBy("target_id", "method").agg(F.min("id").alias("to"))
+    data = o.filter("o_orderstatus = 'F'").select("target_id", "method", F.col("id").alias("from"), F.col("id").alias("to"))
+    return extract.dependence_graph(o.join(first, ["target_id", "method"]).select("target_id", "method", F.col("id").alias("from"), "to"), data, names)
+
+
 @query(WITH + _UP + " SELECT * FROM edges WHERE label = 'invokes' UNION " + _LIFT("invokes", "types", "type"))
 def x_invokes(spark: SparkSession, d: str) -> DataFrame:
     return extract.invokes(facts(spark, d))
@@ -634,6 +748,25 @@ def pii_ids(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.replace_all(F.col("text"), [text.Rule(r"\b[0-9]{16}\b", "0" * 16)]).alias("text"))
 
 
+@query(
+    rf"""WITH p AS (SELECT doc_id, string_split_regex(text, '{text.EMAIL}') AS p, regexp_extract_all(text, '{text.EMAIL}') AS a FROM documents)
+SELECT doc_id, array_to_string(list_transform(p, lambda x, i: concat(x, CASE WHEN i <= len(a) THEN concat(substr(sha256(lower(a[i])), 1, 10), '@example.com') ELSE '' END)), '') AS text FROM p"""
+)
+def pii_alias_emails(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.alias_emails(F.col("text")).alias("text"))
+
+
+_STUDENT = "Theron, Ion de Ing"
+
+
+@query(
+    f"""SELECT conv_id, turn, regexp_replace(regexp_replace(text, '(?i)theron', '{text.name_alias("Theron")}', 'g'), '(?i)ion de ing', '{text.name_alias("Ion de Ing")}', 'g') AS text FROM conversations"""
+)
+def pii_students(spark: SparkSession, d: str) -> DataFrame:
+    """The words of the first name are short and stay, as particles do."""
+    return spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", text.replace_all(F.col("text"), text.student_rules(_STUDENT, None)).alias("text"))
+
+
 @query("SELECT doc_id, strip_accents(text) AS text FROM documents")
 def unaccent(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.unaccent("text").alias("text"))

@@ -10,15 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.functions.text import Rule, replace_all
+from arbora.storage import numbered
+
 # What a submission's archive keeps as text, as it is, and skips; and rows of a gradebook that name no one.
 TEXT_KINDS, VERBATIM_KINDS, SKIPPED = (".pde", ".java", ".xml"), (".jar",), "__MACOSX"
-NO_STUDENT = ("Student", "Points Possible", "Student, Test")
+NO_STUDENT = ("student", "points possible", "student, test")
 
 
 def read_gradebook(spark: SparkSession, path: str) -> DataFrame:
-    """``name`` ("Last, First"), ``user_id`` and ``student_number`` of each student."""
+    """``name`` ("Last, First"), ``user_id`` and ``student_number`` of each student; rows that name none, whatever their case, are left out."""
     rows = spark.read.csv(path, header=False).select(F.trim("_c0").alias("name"), F.trim("_c1").alias("user_id"), F.trim("_c2").alias("student_number"))
-    return rows.filter(F.col("name").isNotNull() & ~F.col("name").isin(*NO_STUDENT))
+    return rows.filter(F.col("name").isNotNull() & (F.col("name") != "") & ~F.lower("name").isin(*NO_STUDENT))
 
 
 def read_rubric(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +31,29 @@ def read_rubric(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("assignment", "course", F.transform("s.attachments", lambda a: a["_id"]).alias("attachments"), "s.score", F.col("s.rubricAssessmentsConnection").alias("assessments"))
 
 
+def rubric_lookup(submissions: DataFrame, rubric: DataFrame) -> DataFrame:
+    """``submissions`` (with ``attachment_id``) and ``assessment``: score and assessments of the rubric's rows that list the attachment, none if no row does."""
+    rows = rubric.select(F.explode("attachments").alias("attachment_id"), F.struct("score", "assessments").alias("a")).distinct()
+    found = rows.groupBy("attachment_id").agg(F.array_sort(F.collect_list("a")).alias("assessment"))
+    return submissions.join(found, "attachment_id", "left").withColumn("assessment", F.coalesce("assessment", F.array().cast(found.schema["assessment"].dataType)))
+
+
+def shuffled_ids(submissions: DataFrame, key: str, seed: int = 0, width: int = 3) -> DataFrame:
+    """``submissions`` with ``new_id``: gapless numbers from 0 in an order that a hash of ``seed`` and ``key`` decides, with leading zeros to ``width`` digits at least."""
+    rows = numbered(submissions.withColumn("__order", F.xxhash64(F.lit(seed), key)), "__order", key, name="__number", label="shuffled-ids")
+    text = F.col("__number").cast("string")
+    return rows.withColumn("new_id", F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)).drop("__order", "__number")
+
+
+def cleaned(members: DataFrame, ids: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``new_id``, ``path`` and ``content`` of the members of archives: paths and texts through ``rules``, other contents as they are; errors are left out.
+
+    ``members`` as ``read_archives`` gives them; ``ids``: ``archive`` and ``new_id``.
+    """
+    text = F.when(F.col("kind") == "text", replace_all(F.decode("content", "UTF-8"), rules).cast("binary")).otherwise(F.col("content"))
+    return members.filter("kind <> 'error'").join(ids.select("archive", "new_id"), "archive").select("new_id", replace_all(F.col("path"), rules).alias("path"), text.alias("content"))
+
+
 def assessed(submissions: DataFrame, column: str = "assessment") -> DataFrame:
     """Submissions whose assessment (an array of structs with ``rubrics``) is not empty and begins with one that has rubrics."""
     return submissions.filter((F.size(column) > 0) & (F.size(F.get(column, F.lit(0))["rubrics"]) > 0))

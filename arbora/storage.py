@@ -38,14 +38,14 @@ def forget(spark: SparkSession, path: str, now: bool = False) -> None:
         system.deleteOnExit(at)
 
 
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back: its lineage ends there, on disks that no executor owns.
+def durable(df: DataFrame, label: str, *folders: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder (a folder for each value of the columns ``folders``, which are strings) and read back: its lineage ends there, on disks that no executor owns.
 
     The table goes when the application ends, or when it is handed to ``release``.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
     forget(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._arbora_path = path

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 import traceback
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,25 @@ def unique_pending(events: DataFrame, key: str, at: str, order: str, batch_secon
     return rows.withColumn("__at", F.row_number().over(Window.partitionBy("batch", key).orderBy(at, order))).filter("__at = 1").drop("__at")
 
 
+@contextmanager
+def timed(what: str) -> Iterator[None]:
+    """Logs how long the block took, in milliseconds."""
+    began = time.perf_counter()
+    try:
+        yield
+    finally:
+        log.info("%s: %d ms", what, 1000 * (time.perf_counter() - began))
+
+
+def overwrite_lines(path: str, lines: Callable[[DataFrame, Criterion], DataFrame]) -> Callable[[DataFrame, Criterion], None]:
+    """A sink that writes what ``lines`` makes of the matches (a sorted column ``line``) as text over what was at ``path``."""
+
+    def sink(matches: DataFrame, criterion: Criterion) -> None:
+        lines(matches, criterion).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+    return sink
+
+
 def watch_criteria(spark: SparkSession, folder: str, edges: DataFrame, sink: Callable[[DataFrame, Criterion], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
     """Judge every criterion file that appears in ``folder`` (a new version is a new file) and hand its matches to ``sink``.
 
@@ -47,8 +68,9 @@ def watch_criteria(spark: SparkSession, folder: str, edges: DataFrame, sink: Cal
         # Criteria are small files, some at a time: they are read on the driver, as plans are made there.
         for row in batch.dropDuplicates(["path"]).orderBy("path").collect():
             try:
-                criterion = Criterion.decode(json.loads(row["value"]))
-                sink(assess(edges, [criterion]), criterion)
+                with timed(f"criterion {row['path']}"):
+                    criterion = Criterion.decode(json.loads(row["value"]))
+                    sink(assess(edges, [criterion]), criterion)
             except Exception:
                 log.error("criterion %s: %s", row["path"], traceback.format_exc())
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
 from collections import Counter
 from pathlib import Path
@@ -16,9 +17,10 @@ import __spark_entry__ as entry
 from arbora import commerce
 from arbora.functions import arrays, text
 from arbora.model import Criterion, PatternTree
-from arbora.operators import extract, graph
+from arbora.operators import extract, graph, report, suggest
+from arbora.plans import planner
 from arbora.queries import ORACLES, QUERIES
-from arbora.sources import formats, grading, typegraph
+from arbora.sources import codecs, formats, grading, typegraph
 from arbora.streaming import watch
 from tests.conftest import DATA
 
@@ -27,7 +29,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 474
 
 
-@pytest.mark.parametrize("name", ["graph_subgraph_extension", "mg_signatures", "sig_features", "match_shared", "match_disconnected", "tree_exception", "verdict_average", "ext_edges", "ext_nodes", "ext_select", "x_containing_types", "json_roundtrip", "pii_names", "event_debounce", "event_unique_queue", "rect_wrap"])
+@pytest.mark.parametrize("name", ["graph_subgraph_extension", "mg_signatures", "sig_features", "neighbourhood_both", "neighbourhood_any", "neighbourhood_incoming", "rect_inside", "match_shared", "match_disconnected", "tree_exception", "tree_family", "verdict_average", "verdict_details", "report_targets", "report_criteria", "ext_samples", "pii_alias_emails", "pii_students", "x_depends_on", "x_depends_on_units", "x_overrides", "x_dependences", "ext_several", "rect_clustered", "codec_boxes", "codec_signatures", "codec_multigraph", "ext_edges", "ext_nodes", "ext_select", "x_containing_types", "json_roundtrip", "pii_names", "event_debounce", "event_unique_queue", "rect_wrap"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in Path(DATA).glob("*.parquet"):
@@ -40,13 +42,13 @@ def test_query_equals_sql(spark, name):
 
 
 def test_condense_example(spark):
-    g = spark.createDataFrame([(0, "a", "1", "b"), (0, "a", "3", "b"), (0, "b", "2", "c"), (0, "b", "1", "a")], "target_id int, src string, label string, dst string")
-    assert {(r["src"], tuple(r["labels"]), r["dst"]) for r in graph.condense(g).collect()} == {("a", ("1", "3"), "b"), ("b", ("2",), "c"), ("b", ("1",), "a")}
+    g = spark.createDataFrame([(0, "x", "in", "y"), (0, "y", "in", "x"), (0, "x", "at", "y"), (0, "x", "at", "x"), (1, "x", "on", "y")], "target_id int, src string, label string, dst string")
+    assert {(r["target_id"], r["src"], tuple(r["labels"]), r["dst"]) for r in graph.condense(g).collect()} == {(0, "x", ("at", "in"), "y"), (0, "y", ("in",), "x"), (0, "x", ("at",), "x"), (1, "x", ("on",), "y")}
     names = graph.dictionary(g)
     assert {tuple(r) for r in graph.decode(graph.encode(g, names), names).collect()} == {tuple(r) for r in g.collect()}
-    more = spark.createDataFrame([(0, "aa", "1", "b"), (1, "z", "1", "z")], g.schema)
+    more = spark.createDataFrame([(0, "a", "in", "y"), (2, "z", "in", "z")], g.schema)
     longer = {(r["target_id"], r["node"]): r["node_id"] for r in graph.extend_dictionary(names, more).collect()}
-    assert longer == {(0, "a"): 0, (0, "b"): 1, (0, "c"): 2, (0, "aa"): 3, (1, "z"): 0}
+    assert longer == {(0, "x"): 0, (0, "y"): 1, (0, "a"): 2, (1, "x"): 0, (1, "y"): 1, (2, "z"): 0}
 
 
 def test_set_keys_and_boxes(spark):
@@ -126,18 +128,117 @@ def test_archives(spark, tmp_path):
     assert [(r["path"], r["sketch"]) for r in grading.sketch_main(files).collect()] == [("a/sketch/A.pde", "sketch")]
 
 
+def test_index_predicates_on_random_boxes_and_sets(spark):
+    """Search inside, around and across, and sub- and supersets, against plain comparisons."""
+    rng = random.Random(5)
+    side = lambda: sorted(rng.sample(range(12), 2))
+    boxes = [(i, list(lo), list(hi)) for i, (lo, hi) in enumerate(tuple(zip(side(), side(), strict=True)) for _ in range(150))]
+    df = spark.createDataFrame(boxes, "id int, low array<bigint>, high array<bigint>")
+    own = arrays.Box(F.col("low"), F.col("high"))
+    for _ in range(4):
+        (x1, x2), (y1, y2) = side(), side()
+        w = arrays.Box(*(F.array(*[F.lit(v).cast("bigint") for v in p]) for p in ((x1, y1), (x2, y2))))
+        got = lambda test: {r["id"] for r in df.filter(test).collect()}
+        assert got(own.inside(w)) == {i for i, a, b in boxes if x1 <= a[0] and y1 <= a[1] and b[0] <= x2 and b[1] <= y2}
+        assert got(w.inside(own)) == {i for i, a, b in boxes if a[0] <= x1 and a[1] <= y1 and x2 <= b[0] and y2 <= b[1]}
+        assert got(own.meets(w)) == {i for i, a, b in boxes if a[0] <= x2 and x1 <= b[0] and a[1] <= y2 and y1 <= b[1]} <= got(own.intersects(w))
+    tree = codecs.box_tree([(a, b, i) for i, a, b in boxes], capacity=4)
+    assert sorted((v, a, b) for a, b, v in codecs.box_tree_entries(tree)) == [(i, a, b) for i, a, b in boxes] and codecs.box_tree([]) is None
+    sets = [(i, [rng.choice("abcde") for _ in range(rng.randint(0, 5))]) for i in range(120)]
+    keys = spark.createDataFrame(sets, "id int, keys array<string>")
+    for word in ([], ["a"], ["b", "a", "b"], list("abcde")):
+        w = F.array(*map(F.lit, word)).cast("array<string>")
+        got = lambda test: {r["id"] for r in keys.filter(test).collect()}
+        assert got(arrays.superset(F.col("keys"), w)) == {i for i, k in sets if set(word) <= set(k)}
+        assert got(arrays.subset(F.col("keys"), w)) == {i for i, k in sets if set(k) <= set(word)}
+        assert got(arrays.same_set(F.col("keys"), w)) == {i for i, k in sets if set(k) == set(word)}
+    trie = codecs.set_trie((k, i) for i, k in sets)
+    assert sorted((v, list(k)) for k, v in codecs.set_trie_entries(trie)) == [(i, sorted(set(k))) for i, k in sets]
+
+
+def test_json_forms(spark):
+    df = spark.createDataFrame([({"b": 2, "a": 1}, [[1, 2, 3], [4, 5, 6]]), ({}, [])], "m map<string, int>, g array<array<bigint>>")
+    texts = df.select(codecs.encode_map("m").alias("m"), codecs.encode_grid("g").alias("g"))
+    assert texts.first()["m"] == '[["a","1"],["b","2"]]' and json.loads(texts.first()["g"]) == {"base1": 0, "base2": 0, "length1": 2, "length2": 3, "values": [1, 2, 3, 4, 5, 6]}
+    back = [tuple(r) for r in texts.select(codecs.decode_map(F.col("m")), codecs.decode_grid(F.col("g"))).collect()]
+    assert back == [({"a": "1", "b": "2"}, [[1, 2, 3], [4, 5, 6]]), ({}, [])]
+    twice = spark.createDataFrame([('[["k","old"],["k","new"]]',)], "m string")
+    assert twice.select(codecs.decode_map(F.col("m"))).first()[0] == {"k": "new"}
+    coded = spark.createDataFrame([(0, 0, 'say "x"', 2)], "target_id int, src bigint, label string, dst bigint")
+    counts = spark.createDataFrame([(0, 3), (1, 1)], "target_id int, node_count bigint")
+    texts = codecs.encode_graphs(coded, counts)
+    assert {r["target_id"]: json.loads(r["value"]) for r in texts.collect()} == {0: {"nodeCount": 3, "edges": [[0, 'say "x"', 2]]}, 1: {"nodeCount": 1, "edges": []}}
+    assert [tuple(r) for r in codecs.decode_graphs(texts).collect()] == [tuple(coded.first())]
+
+
 def test_names(spark):
-    rules = text.student_rules("Müller, Al Max", "1234567")
-    df = spark.createDataFrame([("MULLER und Müller 1234567; al, Algebra max",)], "t string")
-    out = df.select(text.replace_all(F.col("t"), rules).alias("t")).first()["t"]
-    alias = text.name_alias("Müller")
-    assert out.startswith(f"{text.name_alias('Müller')} und {alias} ") or alias in out
-    assert "1234567" not in out and "Algebra" in out and "max" in out and "; al," not in out
+    """Whole names go, short ones between non-letters only; of the words of a name only long ones; case counts for no letter."""
+    rules = text.student_rules("Müller, Jan de Vries", "1234567") + text.student_rules("Oé, Floor", None) + text.student_rules("Wu, Max", None)
+    df = spark.createDataFrame([("MÜLLER muller MullerApp 1234567; jan de vries de jan VRIES Floor max oé, Oéstrus OE wu Wurst",)], "t string")
+    a = text.name_alias
+    want = f"{a('Müller')} {a('Müller')} {a('Müller')}App {text.number_alias('1234567')}; {a('Jan de Vries')} de jan {a('Vries')} Floor max {a('Oé')}, Oéstrus {a('Oé')} {a('Wu')} Wurst"
+    assert df.select(text.replace_all(F.col("t"), rules).alias("t")).first()["t"] == want
+    df = spark.createDataFrame([("MULLER und Müller",)], "t string")
     assert df.select(text.unaccent("t").alias("t")).first()["t"].startswith("MULLER und Muller")
     rows = spark.createDataFrame([("doe_LATE_12_99_my_file.zip",), ("doe_12_99_f.zip",)], "file string")
     assert [(r["late"], r["user_id"], r["attachment_id"], r["file_name"]) for r in grading.submission_names(rows).collect()] == [(True, "12", "99", "my_file.zip"), (False, "12", "99", "f.zip")]
 
 
+def test_each_address_has_its_alias(spark):
+    df = spark.createDataFrame([("a@x.org wrote to B@y.org, cc A@X.org!",), ("none",), (None,), ("a@x.org",)], "t string")
+    one, none, null, same = (r["t"] for r in df.select(text.alias_emails(F.col("t")).alias("t")).collect())
+    first, _, _, second, _, third = one.split(" ")
+    assert first == same and second != first and third.startswith(first[:10]) and "@x" not in one.lower() and (none, null) == ("none", None)
+
+
+def test_strings_in_objects(spark):
+    df = spark.createDataFrame([(("a", ["b", None], {"k": "c"}, [("d", 1)], 7),), (None,)], "o struct<x: string, l: array<string>, m: map<string, string>, n: array<struct<s: string, i: int>>, i: int>")
+    up = text.map_strings(F.col("o"), df.schema["o"].dataType, F.upper)
+    one, none = (r["o"] for r in df.select(up.alias("o")).collect())
+    assert (one["x"], one["l"], one["m"], tuple(one["n"][0]), one["i"], none) == ("A", ["B", None], {"k": "C"}, ("D", 1), 7, None)
+
+
+def test_gradebook_rubric_and_cleaned(spark, tmp_path):
+    (tmp_path / "g.csv").write_text('Student,ID,Number\n"Points Possible",,\n"Doe, Jane",12,s1\n"student, Test",13,s2\n,,\n')
+    assert [tuple(r) for r in grading.read_gradebook(spark, str(tmp_path / "g.csv")).collect()] == [("Doe, Jane", "12", "s1")]
+    node = lambda ids, score: {"attachments": [{"_id": i} for i in ids], "score": score, "rubricAssessmentsConnection": {"nodes": [score]}}
+    raw = {"data": {"assignment": {"name": "A", "course": {"name": "C"}, "submissionsConnection": {"nodes": [node(["7", "8"], 2.0), node(["9"], 3.0)]}}}}
+    (tmp_path / "r.json").write_text(json.dumps(raw))
+    rubric = grading.read_rubric(spark, str(tmp_path / "r.json"))
+    assert {(r["assignment"], r["course"], r["score"]) for r in rubric.collect()} == {("A", "C", 2.0), ("A", "C", 3.0)}
+    handed_in = spark.createDataFrame([("8", "x.zip"), ("5", "y.zip")], "attachment_id string, archive string")
+    looked = {r["attachment_id"]: r["assessment"] for r in grading.rubric_lookup(handed_in, rubric).collect()}
+    assert [a["score"] for a in looked["8"]] == [2.0] and json.loads(looked["8"][0]["assessments"]) == {"nodes": [2.0]} and looked["5"] == []
+    many = spark.range(1200).withColumn("archive", F.concat(F.col("id").cast("string"), F.lit(".zip")))
+    ids = {r["archive"]: r["new_id"] for r in grading.shuffled_ids(many, "archive", seed=4).collect()}
+    assert sorted(ids.values()) == sorted(str(i).zfill(3) for i in range(1200)) and [ids[f"{i}.zip"] for i in range(5)] != ["000", "001", "002", "003", "004"]
+    assert ids == {r["archive"]: r["new_id"] for r in grading.shuffled_ids(many.repartition(7), "archive", seed=4).collect()}
+    members = spark.createDataFrame([("x.zip", "x.zip/Jane Doe.pde", "text", b"// by Jane Doe", None), ("x.zip", "x.zip/l.jar", "verbatim", b"Jane", None), ("x.zip", "x.zip/b.zip", "error", None, "bad")], "archive string, path string, kind string, content binary, error string")
+    out = {r["path"]: bytes(r["content"]) for r in grading.cleaned(members, grading.shuffled_ids(handed_in, "archive"), [text.Rule(text.exactly("jane doe"), "N1")]).collect()}
+    assert out == {"x.zip/N1.pde": b"// by N1", "x.zip/l.jar": b"Jane"}
+    marked = spark.createDataFrame([(1, [([{"a": 1}],)]), (2, []), (3, [([],)])], "id int, assessment array<struct<rubrics: array<map<string, int>>>>")
+    assert [r["id"] for r in grading.assessed(marked).collect()] == [1]
+
+
+def test_extraction_flags(spark):
+    """Types of a unit, overriding, annotators put together, and dependences between statements."""
+    rel = lambda *rows: spark.createDataFrame([(0, *r) for r in rows], "target_id int, `from` string, `to` string")
+    none = extract.empty_relation(spark, "int")
+    unit, a, b, m, n = "java+compilationUnit:u", "java+class:A", "java+interface:B", "java+method:m", "java+method:n"
+    names = spark.createDataFrame([(0, "Boid", a)], "target_id int, simple_name string, qualified_name string")
+    f = extract.Facts(spark.createDataFrame([(0, x) for x in (unit, a, b, m, n)], "target_id int, name string"), rel((unit, a), (unit, b), (a, m), (b, n)), none, rel((a, b)), rel((m, "java+class:X"), (a, b)), none, rel((m, n)), none, spark.createDataFrame([(0, a, "public")], "target_id int, name string, modifier string"), names)
+    plain, more = ({tuple(r)[1:] for r in extract.depends_on(f, units).collect()} for units in (False, True))
+    assert {x for x, *_ in plain} == {m, a, unit} and more - plain == {(b, "dependsOn", "java+class:X")}
+    found = {tuple(r)[1:] for r in extract.structure(f).collect()}
+    assert {(m, "overrides", n), (a, "implements", b)} <= found
+    both = extract.typegraph(f, extract.annotators(extract.default_annotations, extract.named(("Boid",)), extract.no_annotations))
+    loops = {(r["src"], r["label"]) for r in both.filter("src = dst").collect()}
+    assert {(a, "annotation.nameClass=Boid"), (a, "annotation.modifier=public"), (m, "annotation.scheme=java+method"), ("java+class:X", "annotation.location=java+class:X")} <= loops
+    ids = spark.createDataFrame([(0, "m", 1, "s1"), (0, "m", 2, "s2"), (0, "k", 1, "t1")], "target_id int, method string, id int, location string")
+    dep = lambda *rows: spark.createDataFrame([(0, *r) for r in rows], "target_id int, method string, `from` int, `to` int")
+    assert {tuple(r)[1:] for r in extract.dependence_graph(dep(("m", 1, 2)), dep(("m", 2, 1), ("k", 1, 1)), ids).collect()} == {("s1", "controlDepends", "s2"), ("s2", "dataDepends", "s1"), ("t1", "dataDepends", "t1")}
+
+
 def test_nearest_types_and_cycles(spark):
     rel = lambda *rows: spark.createDataFrame([(0, *r) for r in rows], "target_id int, `from` string, `to` string")
     none = extract.empty_relation(spark, "int")
@@ -161,6 +262,38 @@ def test_debounce_stream(spark, tmp_path):
     assert {r["event_id"] for r in spark.table("debounced").collect()} == {2, 3}
 
 
+def test_configure_output(spark, tmp_path):
+    """Extensions of a criterion's queries as text that the next version of the criterion writes over."""
+    g = spark.createDataFrame([(0, "a", "t", "a"), (0, "a", "has", "b"), (0, "b", "m", "b"), (1, "c", "t", "c"), (1, "d", "in", "c")], "target_id int, src string, label string, dst string")
+    criterion = Criterion("types", (PatternTree.of("positive", {("x", "t", "x")}),))
+
+    def lines(matches, criterion):
+        known = spark.createDataFrame(planner.query_edges(planner.forest(criterion.patterns)), "query_id string, src string, label string, dst string")
+        edges = suggest.select_extensions(suggest.edge_extensions(matches, g, known), ["qsrc", "label", "qdst"])
+        nodes = suggest.select_extensions(suggest.node_extensions(matches, g), ["qnode", "loops", "outgoing", "incoming"])
+        found = suggest.extension_lines(edges, nodes, suggest.samples(suggest.node_occurrences(matches, g)))
+        return found.orderBy("query_id", "part", "rank", "place").coalesce(1)
+
+    sink = watch.overwrite_lines(str(tmp_path / "out"), lines)
+    for _ in range(2):
+        sink(report.assess(g, [criterion]), criterion)
+    want = """- query_0
+  Edges:
+  Nodes:
+  - [0.50]
+    x
+    < in <
+    = d
+      in 1
+  - [0.50]
+    x
+    > has >
+    | m |
+    = b
+      in 0"""
+    assert "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()) == want
+
+
 def test_watch_criteria(spark, tmp_path):
     g = spark.createDataFrame([(0, "a", "class", "a")], "target_id int, src string, label string, dst string")
     c = Criterion("classes", (PatternTree.of("positive", {("c", "annotation.scheme=x", "c")}),))

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from arbora.model import Criterion, PatternTree, annotation, decode_label, encode_label, suggested_pattern
-from arbora.operators import match, report
+from arbora.operators import match, report, suggest
 from arbora.plans import planner
 
+# A library: shelves hold books and boxes, a box holds letters; what is lent or torn is marked.
 GOLDEN = [
-    ("t0", "class", "t0"), ("t0", "contains", "t01"), ("t01", "method", "t01"), ("t0", "contains", "t02"), ("t02", "method", "t02"), ("t02", "public", "t02"),
-    ("t0", "contains", "t0a"), ("t0a", "field", "t0a"), ("t0a", "public", "t0a"), ("t1", "class", "t1"), ("t1", "contains", "t11"), ("t11", "method", "t11"),
-    ("t1", "contains", "t1a"), ("t1a", "field", "t1a"), ("t1a", "private", "t1a"), ("t2", "class", "t2"), ("t2", "contains", "t21"), ("t21", "public", "t21"),
-    ("t21", "method", "t21"), ("t2", "contains", "t22"), ("t22", "method", "t22"), ("t22", "private", "t22"),
+    ("s1", "shelf", "s1"), ("s1", "holds", "b1"), ("s1", "holds", "b2"), ("s1", "holds", "x1"), ("s2", "shelf", "s2"), ("s2", "holds", "b3"), ("s2", "holds", "x2"), ("x1", "holds", "l1"),
+    ("b1", "book", "b1"), ("b1", "lent", "b1"), ("b2", "book", "b2"), ("b3", "book", "b3"), ("b3", "lent", "b3"), ("b3", "torn", "b3"), ("x1", "box", "x1"), ("x2", "box", "x2"), ("l1", "letter", "l1"),
+    ("b1", "cites", "b2"), ("b3", "cites", "b1"), ("s3", "shelf", "s3"),
 ]
 SCHEMA = "target_id int, src string, label string, dst string"
 
@@ -52,19 +53,27 @@ def brute_any(target, tree, above, base):
 
 
 def test_golden_search(spark):
-    found = match.search(edges(spark, [GOLDEN]), {("p0", "class", "p0"), ("p1", "method", "p1"), ("p1", "public", "p1"), ("p0", "contains", "p1")})
-    assert {(r["p0"], r["p1"]) for r in found.collect()} == {("t0", "t02"), ("t2", "t21")}
+    found = match.search(edges(spark, [GOLDEN]), {("shelf", "shelf", "shelf"), ("shelf", "holds", "it"), ("it", "book", "it"), ("it", "lent", "it")})
+    assert {(r["shelf"], r["it"]) for r in found.collect()} == {("s1", "b1"), ("s2", "b3")}
 
 
 def test_golden_tree(spark):
+    """A shelf by itself only where it holds neither a book that is lent nor a box."""
     tree = PatternTree.of(
-        "positive",
-        {("0", "class", "0")},
-        PatternTree.of("negative", {("1", "method", "1"), ("1", "public", "1"), ("0", "contains", "1")}),
-        PatternTree.of("neutral", {("1", "field", "1"), ("0", "contains", "1")}),
+        "neutral",
+        {("s", "shelf", "s")},
+        PatternTree.of("negative", {("s", "holds", "b"), ("b", "book", "b"), ("b", "lent", "b")}),
+        PatternTree.of("positive", {("s", "holds", "x"), ("x", "box", "x")}, PatternTree.of("neutral", {("x", "holds", "l")})),
     )
     found = match.search_trees(edges(spark, [GOLDEN]), (tree,))
-    assert {(r["verdict"], r["mapping"]["0"], r["mapping"]["1"]) for r in found.collect()} == {("negative", "t0", "t02"), ("negative", "t2", "t21"), ("neutral", "t0", "t0a"), ("neutral", "t1", "t1a")}
+    got = {(r["query_id"], r["verdict"], tuple(sorted(r["mapping"].items()))) for r in found.collect()}
+    assert got == {
+        ("query_0", "neutral", (("s", "s3"),)),
+        ("query_0.0", "negative", (("b", "b1"), ("s", "s1"))),
+        ("query_0.0", "negative", (("b", "b3"), ("s", "s2"))),
+        ("query_0.1", "positive", (("s", "s2"), ("x", "x2"))),
+        ("query_0.1.0", "neutral", (("l", "l1"), ("s", "s1"), ("x", "x1"))),
+    }
 
 
 def random_graph(rng, nodes=5, labels="ab", size=9):
@@ -95,6 +104,109 @@ def test_tree_equals_brute_force(spark, seed):
     assert got == want
 
 
+def test_families_equal_brute_force(spark):
+    """Nodes that differ in labels are planned together, over several levels, and each keeps its own id."""
+    rng = random.Random(9)
+    graphs = [random_graph(rng, nodes=4, labels=["k=a", "k=b", "k=c", "k=d"], size=11) for _ in range(30)]
+    leaf = lambda x, y: PatternTree.of("neutral", {("y", f"k={x}", "z"), ("z", f"k={y}", "z")})
+    trees = tuple(PatternTree.of("positive", {("x", f"k={r}", "y")}, *[PatternTree.of("negative", {("y", f"k={c}", "y")}, *[leaf(e, r) for e in "ab"]) for c in "abc"]) for r in "abd")
+    # The same tree twice: both have its matches.
+    trees += (trees[0], PatternTree.of("negative", {("x", "k=c", "y"), ("y", "k=d", "x")}))
+    assert len(planner.groups(planner.forest(trees))) == 2
+    found = match.search_trees(edges(spark, graphs), trees)
+    got = sorted((r["target_id"], r["query_id"].split(".")[0], r["verdict"], tuple(sorted(r["mapping"].items()))) for r in found.collect())
+    assert got == sorted((i, f"query_{k}", v, m) for i, g in enumerate(graphs) for k, t in enumerate(trees) for v, m in brute_tree(g, t))
+    ids = {r["query_id"] for r in found.select("query_id").distinct().collect()}
+    assert {"query_0", "query_3"} <= ids and any(x.count(".") == 2 for x in ids)
+
+
+def test_stored_graph(spark):
+    g = edges(spark, [GOLDEN])
+    tree = PatternTree.of("positive", {("a", "holds", "b"), ("b", "book", "b")})
+    plain, stored = ({(r["query_id"], tuple(sorted(r["mapping"].items()))) for r in match.search_trees(x, (tree,)).collect()} for x in (g, match.store(g)))
+    assert plain == stored and len(plain) == 3
+
+
+CRITERIA = {
+    # A system of particles: twenty edges over nine variables in the root.
+    "particles": PatternTree.of(
+        "positive",
+        {
+            ("P", "cls", "P"), ("P", "has", "life"), ("life", "fld", "life"), ("P", "has", "move"), ("move", "mth", "move"), ("move", "reads", "life"), ("P", "has", "gone"), ("gone", "mth", "gone"),
+            ("gone", "reads", "life"), ("gone", "needs", "bit"), ("bit", "basic", "bit"), ("S", "cls", "S"), ("S", "has", "list"), ("list", "fld", "list"), ("list", "needs", "P"), ("list", "needs", "L"),
+            ("L", "lib", "L"), ("S", "has", "run"), ("run", "reads", "list"), ("run", "calls", "gone"),
+        },
+        PatternTree.of("neutral", {("run", "calls", "move")}),
+    ),
+    # A variable that nothing connects.
+    "apart": PatternTree.of("positive", {("a", "cls", "a"), ("a", "calls", "b")}, PatternTree.of("negative", {("c", "lib", "c")})),
+}
+
+
+def test_large_root(spark):
+    """The pattern is found where it is planted, also twice, and nowhere where one of its edges is missing."""
+    tree = CRITERIA["particles"]
+    rename = lambda k: {(f"{s}{k}", x, f"{d}{k}") for s, x, d in tree.pattern}
+    assert len(tree.pattern) == 20 and len(planner.variables(tree.pattern)) == 9
+    rng, graphs, want = random.Random(3), [], Counter()
+    for i in range(12):
+        noise = {(f"n{rng.randrange(9)}", rng.choice(["has", "reads", "calls", "needs", "cls", "mth"]), f"n{rng.randrange(9)}") for _ in range(40)}
+        if i % 3 == 0:
+            graphs.append(noise | rename("x"))
+            want[i, "query_0"] += 1
+        elif i % 3 == 1:
+            graphs.append(noise | rename("x") | rename("y") | {("runy", "calls", "movey")})
+            want.update({(i, "query_0"): 1, (i, "query_0.0"): 1})
+        else:
+            missing = rng.choice(sorted(rename("x")))
+            graphs.append(noise | (rename("x") - {missing}))
+    got = Counter((r["target_id"], r["query_id"]) for r in match.search_trees(edges(spark, graphs), (tree,)).collect())
+    assert got == want
+
+
+def test_many_nodes(spark):
+    """A family of 95 nodes in two levels is a few groups, and is found as by brute force."""
+    fields, methods = [f"f{i}" for i in range(9)], [f"m{i}" for i in range(9)]
+    lit = lambda v, x: (v, f"annotation.location={x}", v)
+    over = {("T", "cls", "T"), ("T", "has", "m"), ("m", "overrides", "o")}
+    first = PatternTree.of("positive", over, *[PatternTree.of("neutral", {lit("o", x)}) for x in ("draw", "setup", "settings")])
+    second = PatternTree.of("neutral", {("m", "reads", "f")}, *[PatternTree.of("negative", {lit("f", x)}, *[PatternTree.of("neutral", over | {lit("o", y)}) for y in methods]) for x in fields])
+    plan = planner.groups(planner.forest((first, second)))
+    count = lambda gs: sum(1 + count(g.children) for g in gs)
+    nodes = lambda gs: sum(len(g.members) + nodes(g.children) for g in gs)
+    assert (count(plan), nodes(plan)) == (5, 95)
+    rng, graphs = random.Random(2), []
+    for _ in range(6):
+        names = [f"n{i}" for i in range(5)]
+        g = {(rng.choice(names), rng.choice(["has", "overrides", "reads", "reads"]), rng.choice(names)) for _ in range(12)} | {(n, "cls", n) for n in names[:2]}
+        graphs.append(g | {(n, f"annotation.location={rng.choice(fields[:3] + methods[:3] + ['draw'])}", n) for n in names for _ in range(2)})
+    got = Counter((r["target_id"], r["verdict"], tuple(sorted(r["mapping"].items()))) for r in match.search_trees(edges(spark, graphs), (first, second)).collect())
+    assert got == Counter((i, v, m) for i, g in enumerate(graphs) for t in (first, second) for v, m in brute_tree(g, t)) and len(got) > 10
+
+
+def test_unconnected_variable(spark):
+    rng = random.Random(12)
+    graphs = [{(f"n{rng.randrange(4)}", rng.choice(["calls", "cls", "lib"]), f"n{rng.randrange(4)}") for _ in range(9)} for _ in range(15)]
+    got = Counter((r["target_id"], r["verdict"], tuple(sorted(r["mapping"].items()))) for r in match.search_trees(edges(spark, graphs), (CRITERIA["apart"],)).collect())
+    assert got == Counter((i, v, m) for i, g in enumerate(graphs) for v, m in brute_tree(g, CRITERIA["apart"]))
+
+
+def test_extensions_of_several_queries(spark):
+    """Fractions and choices are per query, not over all."""
+    g = edges(spark, [GOLDEN, GOLDEN[:9]])
+    trees = (PatternTree.of("positive", {("s", "holds", "b"), ("b", "book", "b")}), PatternTree.of("positive", {("a", "cites", "b")}))
+    found = match.search_trees(g, trees)
+    known = spark.createDataFrame(planner.query_edges(planner.forest(trees)), "query_id string, src string, label string, dst string")
+    got = {(r["query_id"], r["qsrc"], r["label"], r["qdst"]): r["fraction"] for r in suggest.edge_extensions(found, g, known).collect()}
+    rows = [(r["target_id"], r["query_id"], r["mapping"]) for r in found.collect()]
+    for q, tree in (("query_0", trees[0]), ("query_1", trees[1])):
+        mine = [(t, m) for t, x, m in rows if x == q]
+        seen = Counter((u, e, v) for t, m in mine for u in m for v in m for s, e, d in (GOLDEN, GOLDEN[:9])[t] if (s, d) == (m[u], m[v]) and (u, e, v) not in tree.pattern)
+        assert {k[1:]: f for k, f in got.items() if k[0] == q} == {k: n / len(mine) for k, n in seen.items()}
+    chosen = suggest.select_extensions(suggest.edge_extensions(found, g, known), ["qsrc", "label", "qdst"]).collect()
+    assert {r["query_id"] for r in chosen} == {"query_0", "query_1"} and all(r["rank"] >= 1 for r in chosen)
+
+
 def test_disconnected_extension(spark):
     g = edges(spark, [{("0", "0", "0"), ("0", "2", "1")}, {("2", "l", "2"), ("3", "m", "3")}])
     base, more = {("a", "0", "a")}, {("b", "2", "c")}
@@ -108,7 +220,7 @@ def test_empty_patterns(spark):
     with pytest.raises(ValueError):
         match.search_trees(edges(spark, [GOLDEN]), (PatternTree.of("positive", set()),))
     # A child with an empty pattern always matches and so suppresses its parent.
-    tree = PatternTree.of("positive", {("c", "class", "c")}, PatternTree.of("neutral", set()))
+    tree = PatternTree.of("positive", {("c", "shelf", "c")}, PatternTree.of("neutral", set()))
     assert {r["verdict"] for r in match.search_trees(edges(spark, [GOLDEN]), (tree,)).collect()} == {"neutral"}
 
 
@@ -129,16 +241,20 @@ def test_codecs():
     assert tree.pattern == {("a", "class", "a"), ("a", "contains", "b")}
 
 
-def test_averages_count_targets_without_matches(spark):
+def test_averages_count_targets_without_matches(spark, tmp_path):
     g = edges(spark, [GOLDEN, {("x", "other", "x")}])
-    found = report.assess(g, [Criterion("classes", (PatternTree.of("positive", {("c", "class", "c")}),))])
+    found = report.assess(g, [Criterion("shelves", (PatternTree.of("positive", {("c", "shelf", "c")}),))])
     assert report.averages(found, g).first()["average"] == 1.5
-    text = report.target_reports(found).first()["report"]
-    assert text.startswith("# 0\n\n- classes\n  Positive: 3\n  - Positive / query_0\n    - `c` ->\n      `t0`")
-    assert "- Average:\n  Positive: 1.5" in report.criterion_reports(found, g).first()["report"]
+    text = "\n".join(r["line"] for r in report.in_order(report.target_reports(found), "target_id", "criterion").collect())
+    assert text.startswith("- shelves\n  Positive: 3\n  - Positive / query_0\n    - `c` ->\n      `s1`\n  - Positive")
+    text = "\n".join(r["line"] for r in report.in_order(report.criterion_reports(found, g), "criterion", "target_id").collect())
+    assert text.startswith("- 0\n  Positive: 3\n") and text.endswith("- Average:\n  Positive: 1.5")
+    report.write_reports(report.target_reports(found), str(tmp_path / "out"), "target_id", "criterion")
+    written = "".join(f.read_text() for f in sorted((tmp_path / "out/target_id=0").glob("*.txt")))
+    assert written.startswith("- shelves\n  Positive: 3\n") and written.count("\n") == 2 + 3 * 3
 
 
 def test_no_distinct_needed(spark):
     g = edges(spark, [GOLDEN])
-    rows = match.search(g, {("a", "contains", "b"), ("a", "contains", "c")})
+    rows = match.search(g, {("a", "holds", "b"), ("a", "holds", "c")})
     assert rows.count() == rows.distinct().count() == rows.filter(F.col("b") != F.col("c")).count()

@@ -40,7 +40,8 @@ def clean_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates one document stays: the least ``doc_id``, of its texts that share it the one with the least hash.
 
-    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more: SimHash fingerprints in the Gray-order index, and bands
+    of minima for what lies beyond its radius; every link is checked.
     Rows are told apart by ``doc_id`` and text; those equal in both stay once.  Rows without ``doc_id`` stay, once for each text.
     """
     ship(spark)
@@ -68,13 +69,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and whether they decode to it."""
+    """Token ids of every text, and whether they decode to it.  A null text counts as empty: no ids, and decoded rightly."""
     ship(spark)
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     both = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
-    return both.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
@@ -87,8 +88,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage."""
+    """The rows of the last stage.  A stage's table goes once the next one is written."""
     docs = common.documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = common.durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, common.durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        common.release(before)
     return docs

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.storage import numbered
+
 KEY, EDGE = "target_id", ["target_id", "src", "label", "dst"]
 
 
@@ -83,9 +85,16 @@ def expand(pairs: DataFrame) -> DataFrame:
     return pairs.select(KEY, "src", F.explode("labels").alias("label"), "dst")
 
 
+def _places(of: DataFrame, name: str) -> DataFrame:
+    """``node`` of each target with its place in node order, from 0: numbered over all targets, less the target's first number, so that a target fills as many tasks as it needs."""
+    rows = numbered(of.select(KEY, "node"), KEY, "node", name="__number", label="dictionary")
+    first = rows.groupBy(KEY).agg(F.min("__number").alias("__first"))
+    return rows.join(first, KEY).select(KEY, "node", (F.col("__number") - F.col("__first")).alias(name))
+
+
 def dictionary(g: DataFrame) -> DataFrame:
     """``node_id`` from 0 within each target, in node order."""
-    return nodes(g).withColumn("node_id", (F.row_number().over(Window.partitionBy(KEY).orderBy("node")) - 1).cast("bigint"))
+    return _places(nodes(g), "node_id")
 
 
 def encode(g: DataFrame, names: DataFrame) -> DataFrame:
@@ -102,9 +111,8 @@ def decode(coded: DataFrame, names: DataFrame) -> DataFrame:
 def extend_dictionary(names: DataFrame, extension: DataFrame) -> DataFrame:
     """Ids stay; nodes of ``extension`` without one get the next ids in node order."""
     size = names.groupBy(KEY).agg(F.count("*").alias("n"))
-    new = nodes(extension).join(names, [KEY, "node"], "left_anti").join(size, KEY, "left")
-    place = F.row_number().over(Window.partitionBy(KEY).orderBy("node"))
-    return names.unionByName(new.select(KEY, "node", (F.coalesce("n", F.lit(0)) + place - 1).cast("bigint").alias("node_id")))
+    new = nodes(extension).join(names, [KEY, "node"], "left_anti")
+    return names.unionByName(_places(new, "__place").join(size, KEY, "left").select(KEY, "node", (F.coalesce("n", F.lit(0)) + F.col("__place")).cast("bigint").alias("node_id")))
 
 
 def node_count(g: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators.graph import KEY, dictionary, encode
+from arbora.storage import numbered
 
 
 def _b64(column: str):
@@ -31,14 +32,14 @@ def gss_mappings(lines: DataFrame) -> DataFrame:
 
 
 def label_dictionary(edges: DataFrame) -> DataFrame:
-    """``label_id`` from 0 over all graphs, in label order.  Labels are few: a window over the different ones alone."""
-    return edges.select("label").distinct().withColumn("label_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint"))
+    """``label_id`` from 0 over all graphs, in label order.  Labels that hold locations may be as many as nodes."""
+    return numbered(edges.select("label").distinct(), "label", name="label_id", label="labels")
 
 
 def spmf_lines(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``graph`` (its number in target order), ``place`` and ``line``: ``t # n``, then ``v i 0`` and ``e i j l``."""
     labels = label_dictionary(edges) if labels is None else labels
-    graphs = edges.select(KEY).distinct().withColumn("graph", (F.row_number().over(Window.orderBy(KEY)) - 1).cast("bigint"))
+    graphs = numbered(edges.select(KEY).distinct(), KEY, name="graph", label="graphs")
     names = dictionary(edges)
     head = graphs.select(KEY, "graph", F.lit("0").alias("kind"), F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c"), F.concat(F.lit("t # "), F.col("graph").cast("string")).alias("line"))
     v = names.join(graphs, KEY).select(KEY, "graph", F.lit("1").alias("kind"), F.col("node_id").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("c"), F.concat(F.lit("v "), F.col("node_id").cast("string"), F.lit(" 0")).alias("line"))

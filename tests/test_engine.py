@@ -29,7 +29,7 @@ def test_entry(spark):
     assert entry.entry(spark).count() == 474
 
 
-@pytest.mark.parametrize("name", ["graph_subgraph_extension", "mg_signatures", "sig_features", "neighbourhood_both", "neighbourhood_any", "neighbourhood_incoming", "rect_inside", "match_shared", "match_disconnected", "tree_exception", "tree_family", "verdict_average", "verdict_details", "report_targets", "report_criteria", "ext_samples", "pii_alias_emails", "pii_students", "x_depends_on", "x_depends_on_units", "x_overrides", "x_dependences", "ext_several", "rect_clustered", "codec_boxes", "codec_signatures", "codec_multigraph", "ext_edges", "ext_nodes", "ext_select", "x_containing_types", "json_roundtrip", "pii_names", "event_debounce", "event_unique_queue", "rect_wrap"])
+@pytest.mark.parametrize("name", ["mg_dictionary", "mg_extend", "spmf_export", "spmf_import", "graph_subgraph_extension", "mg_signatures", "sig_features", "neighbourhood_both", "neighbourhood_any", "neighbourhood_incoming", "rect_inside", "match_shared", "match_disconnected", "tree_exception", "tree_family", "verdict_average", "verdict_details", "report_targets", "report_criteria", "ext_samples", "pii_alias_emails", "pii_students", "x_depends_on", "x_depends_on_units", "x_overrides", "x_dependences", "ext_several", "rect_clustered", "codec_boxes", "codec_signatures", "codec_multigraph", "ext_edges", "ext_nodes", "ext_select", "x_containing_types", "json_roundtrip", "pii_names", "event_debounce", "event_unique_queue", "rect_wrap"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in Path(DATA).glob("*.parquet"):

@@ -73,11 +73,11 @@ def shard(df: DataFrame, *order: str, shards: int = 40, seed: int = 20_24) -> Da
     """``df`` with ``row_number``, ``position``, ``shard`` and ``slot``.
 
     Rows are numbered by ``order``; the caller adds a tie-break column where keys repeat.  Nulls sort first.  An empty table gives an
-    empty result.  Keep ``df`` narrow: payloads need not move, since shard and slot follow from the number.
+    empty result.  Columns of the four names are replaced, all others stay.  The result is the same however ``df`` is partitioned.  Keep ``df`` narrow: payloads need not move, since shard and slot follow from the number.
     """
     if shards < 1:
         raise ValueError("shards must be 1 or more")
-    rows = numbered(df, *order, label="shard")
+    rows = numbered(df.drop("row_number", "position", "shard", "slot"), *order, label="shard")
     n = rows.count()
     return permuted(rows, "row_number", n, seed).withColumn("shard", F.expr(f"cast(position % {shards} as int)")).withColumn("slot", F.expr(f"position div {shards}"))
 

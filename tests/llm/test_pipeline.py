@@ -17,8 +17,20 @@ def test_stages(spark, odd):
     once = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs.union(docs), odd).collect()}
     groups = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert once == groups and corpus_pipeline.drop_near_duplicates(spark, docs.union(docs), odd).count() == len(groups)
-    tokens = corpus_pipeline.encode_tokens(spark, docs.filter("text is not null"), odd)
-    assert {r["round_trip"] for r in tokens.select("round_trip").collect()} == {True}
+    tokens = corpus_pipeline.encode_tokens(spark, docs.union(docs), odd).collect()
+    assert len(tokens) == 2 * docs.count() and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in tokens)
+
+
+def test_stages_keep_repeated_rows_and_long_texts(spark, odd):
+    """Language and quality judge each row for itself: a repeated row goes or stays as often as it is there, and the very long text is whole."""
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.clean_quality):
+        twice = stage(spark, docs.union(docs), odd).groupBy("doc_id", "text").count().collect()
+        assert twice and {r["count"] for r in twice} == {2}
+        (long,) = (r["text"] for r in twice if r["doc_id"] == 33)
+        assert len(long.split()) == 30_000
+    (tokens,) = corpus_pipeline.encode_tokens(spark, docs.filter("doc_id = 33"), odd).collect()
+    assert tokens["round_trip"] and tokens["n_tokens"] > 30_000
 
 
 def test_shared_ids(spark, odd):

@@ -2,9 +2,9 @@
 
 A text is cut at its special tokens, the rest into pieces by the vocabulary's pattern.  Pieces repeat, so each process keeps the
 ids of those it has seen (of ``SHORT`` bytes at most, cleared at ``CACHE`` entries, which bounds memory).  A new piece is merged with a contiguous
-rank array: ``bounds`` holds the places in the piece where its parts begin, and its end, and ``ranks[i]`` the rank of the part that parts ``i`` and
-``i+1`` make together; the least rank is found by a scan, the boundary between the two is deleted, and the ranks of the merged part with its
-neighbours are looked up again by the bytes between their boundaries.  The scan is quadratic in a piece's length, so pieces over ``SHORT`` bytes
+rank array: ``bounds`` holds the places in the piece where its parts begin, and its end, ``at`` the id of the part that begins at a place, and
+``ranks[i]`` the rank of parts ``i`` and ``i+1`` as a pair; the least rank is found by a scan, the boundary between the two is deleted, and the ranks of
+the merged part with the parts at the boundaries beside it are looked up again.  The scan is quadratic in a piece's length, so pieces over ``SHORT`` bytes
 use a heap over linked parts, which merges in the same order (least rank, leftmost first).
 
 A null text counts as empty and gives no ids; an empty table gives an empty result; rows are encoded each for itself, so repeated rows and
@@ -97,7 +97,6 @@ class ByteBPE:
         self.bytes_of: list[bytes] = [b""] * size
         for token, i in vocab.items():
             self.bytes_of[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self.id_of = {self.bytes_of[i]: i for token, i in vocab.items() if token not in self.special}
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -108,17 +107,19 @@ class ByteBPE:
         """The ids of one piece."""
         if len(piece) > SHORT:
             return self._merge_long(piece)
-        bounds, of, get, bits, low = [*range(len(piece) + 1)], self.id_of, self.merges.get, self.bits, (1 << self.bits) - 1
-        ranks = [get(a << bits | b, NEVER) for a, b in pairwise(map(self.byte_id.__getitem__, piece))]
+        bounds, at = [*range(len(piece) + 1)], [*map(self.byte_id.__getitem__, piece)]
+        get, bits, low = self.merges.get, self.bits, (1 << self.bits) - 1
+        ranks = [get(a << bits | b, NEVER) for a, b in pairwise(at)]
         while ranks and (least := min(ranks)) != NEVER:
             i = ranks.index(least)
             del bounds[i + 1], ranks[i]
-            new = least & low
+            at[bounds[i]] = new = least & low
             if i < len(ranks):
-                ranks[i] = get(new << bits | of[piece[bounds[i + 1] : bounds[i + 2]]], NEVER)
+                ranks[i] = get(new << bits | at[bounds[i + 1]], NEVER)
             if i:
-                ranks[i - 1] = get(of[piece[bounds[i - 1] : bounds[i]]] << bits | new, NEVER)
-        return [of[piece[a:b]] for a, b in pairwise(bounds)]
+                ranks[i - 1] = get(at[bounds[i - 1]] << bits | new, NEVER)
+        bounds.pop()
+        return [*map(at.__getitem__, bounds)]
 
     def _merge_long(self, piece: bytes) -> list[int]:
         ids: list[int] = [self.byte_id[b] for b in piece]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.operators.match import store
+from arbora.storage import again
 
 #: The same edges as a common table expression for an engine that has the tables as views.
 EDGES_SQL = """
@@ -66,9 +67,10 @@ _STORED: dict[tuple[str, str], DataFrame] = {}
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges as a stored graph, written once for each application and folder, as a project's graph is loaded once for all that is asked of it."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _STORED:
-        _STORED[key] = store(made_edges(spark, sf_dir))
-    return _STORED[key]
+    found = again(spark, _STORED[key]) if key in _STORED else None
+    if found is None:
+        found = _STORED[key] = store(made_edges(spark, sf_dir))
+    return found
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

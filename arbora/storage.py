@@ -52,6 +52,14 @@ def durable(df: DataFrame, label: str, *folders: str) -> DataFrame:
     return out
 
 
+def again(spark: SparkSession, table: DataFrame) -> DataFrame | None:
+    """A table made by ``durable``, read anew in this session; None if it is gone."""
+    path = table._arbora_path
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return spark.read.schema(table.schema).parquet(path) if there else None
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by ``durable`` that nothing will read again."""
     for t in tables:

@@ -21,6 +21,7 @@ from arbora.operators import extract, graph, report, suggest
 from arbora.plans import planner
 from arbora.queries import ORACLES, QUERIES
 from arbora.sources import codecs, formats, grading, typegraph
+from arbora.storage import release
 from arbora.streaming import watch
 from tests.conftest import DATA
 
@@ -305,6 +306,14 @@ def test_watch_criteria(spark, tmp_path):
     assert seen == [("classes", 0)]
 
 
+def test_stored_graph_is_made_again_if_it_is_gone(spark):
+    first = commerce.stored(spark, DATA)
+    key = spark.sparkContext.applicationId, DATA
+    assert commerce.stored(spark.newSession(), DATA).count() == first.count()
+    release(commerce._STORED[key])
+    assert commerce.stored(spark, DATA).count() == 22954
+
+
 def test_commerce_edges_do_not_repeat(spark):
     g = commerce.edges(spark, DATA)
     assert g.count() == g.distinct().count() == 22954

@@ -53,6 +53,7 @@ class Commerce:
         owned = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         self.order = owned.select(F.col("c_nationkey").alias("target_id"), _node("customer", "c_custkey").alias("c"), _node("order", "o_orderkey").alias("o"), "o_orderstatus", "o_orderpriority")
         placed = lines.join(owned.select("o_orderkey", "c_nationkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+        self.placed = placed
         self.line = placed.select(F.col("c_nationkey").alias("target_id"), _node("order", "o_orderkey").alias("o"), _node("part", "l_partkey").alias("p"), _node("supplier", "l_suppkey").alias("s"), "l_returnflag")
 
 
@@ -77,25 +78,35 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir).select("target_id", "src", "label", "dst")
 
 
+def _uses(t: Commerce) -> DataFrame:
+    """``target_id``, ``l_orderkey``, ``use`` and ``key``: parts (0), returned parts (1) and suppliers (2) of each line."""
+    use = lambda n, c: F.struct(F.lit(n).alias("use"), F.col(c).cast("bigint").alias("key"))
+    some = use(0, "l_partkey"), use(2, "l_suppkey")
+    uses = F.when(F.col("l_returnflag") == "R", F.array(*some, use(1, "l_partkey"))).otherwise(F.array(*some))
+    return t.placed.select(F.col("c_nationkey").alias("target_id"), "l_orderkey", F.explode(uses).alias("u")).select("target_id", "l_orderkey", "u.*")
+
+
 def made_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All edges from the tables.  Labels of different parts differ, so only the parts that repeat rows are made distinct."""
+    """All edges from the tables.  Labels of different parts differ, so only the parts that repeat rows are made distinct.
+
+    Lines lie by order after they are joined, and what repeats does so within an order, so their edges are made distinct by keys there, without
+    another exchange, and get their names last.
+    """
     t = Commerce(spark, sf_dir)
     of = lambda kind, column: F.concat(F.lit(f"annotation.{kind}="), F.col(column))
+    edge = lambda src, label, dst: F.struct(F.col(src).alias("src"), (F.lit(label) if isinstance(label, str) else label).alias("label"), F.col(dst).alias("dst"))
+    each = lambda df, *some: df.select("target_id", F.explode(F.array(*some)).alias("e")).select("target_id", "e.*")
+    uses = _uses(t)
+    name = F.when(F.col("use") == 2, _node("supplier", "key")).otherwise(_node("part", "key"))
+    label = F.when(F.col("use") == 0, "dependsOn").when(F.col("use") == 1, "accessesField").otherwise("invokes")
+    used = uses.filter("use <> 1").select("target_id", "use", "key").distinct().select("target_id", name.alias("n"))
     parts = [
         _edge(t.nation, "n", "extends", "r"),
-        _edge(t.customer, "n", "contains", "c"),
-        _edge(t.order, "c", "contains", "o"),
-        _edge(t.line, "o", "dependsOn", "p", True),
-        _edge(t.line.filter("l_returnflag = 'R'"), "o", "accessesField", "p", True),
-        _edge(t.line, "o", "invokes", "s", True),
         _edge(t.nation, "n", "annotation.scheme=nation", "n"),
-        _edge(t.customer, "c", "annotation.scheme=customer", "c"),
-        _edge(t.order, "o", "annotation.scheme=order", "o"),
-        _edge(t.order, "o", of("modifier", "o_orderstatus"), "o"),
-        _edge(t.order, "o", of("nameClass", "o_orderpriority"), "o"),
-        _edge(t.customer, "c", of("nameClass", "c_mktsegment"), "c"),
-        _edge(t.line, "p", of("location", "p"), "p", True),
-        _edge(t.line, "s", of("location", "s"), "s", True),
+        each(t.customer, edge("n", "contains", "c"), edge("c", "annotation.scheme=customer", "c"), edge("c", of("nameClass", "c_mktsegment"), "c")),
+        each(t.order, edge("c", "contains", "o"), edge("o", "annotation.scheme=order", "o"), edge("o", of("modifier", "o_orderstatus"), "o"), edge("o", of("nameClass", "o_orderpriority"), "o")),
+        uses.distinct().select("target_id", _node("order", "l_orderkey").alias("src"), label.alias("label"), name.alias("dst")),
+        _edge(used, "n", of("location", "n"), "n"),
         _edge(t.nation, "r", of("location", "r"), "r", True),
     ]
     return reduce(DataFrame.union, parts)

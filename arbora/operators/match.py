@@ -32,7 +32,7 @@ def kind_of(label: str) -> str:
 def store(edges: DataFrame) -> DataFrame:
     """``edges`` with ``kind``, written once in a folder for each kind: a search for a label reads that kind alone."""
     kind = F.split_part("label", F.lit("="), F.lit(1))
-    return durable(edges.select(KEY, "src", "label", "dst", kind.alias("kind")), "edges", "kind")
+    return durable(edges.select(KEY, "src", "label", "dst", kind.alias("kind")), "edges", "kind", sweep=True, compression="zstd")
 
 
 class Graph:

@@ -16,7 +16,7 @@ from arbora.functions import arrays, text
 from arbora.model import Criterion, PatternTree, family
 from arbora.operators import extract, features, graph, match, report, suggest
 from arbora.plans import planner
-from arbora.sources import codecs, formats, typegraph
+from arbora.sources import codecs, formats, pieces, typegraph
 from arbora.storage import durable
 from arbora.streaming import watch
 
@@ -725,7 +725,8 @@ def spmf_import(spark: SparkSession, d: str) -> DataFrame:
 @query(WITH + " SELECT * FROM edges WHERE label <> 'annotation.none'")
 def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     g = commerce.edges(spark, d)
-    edges, _ = typegraph.decode(typegraph.encode(g))
+    texts = durable(typegraph.encode(g), "typegraphs", sweep=True, **pieces.SMALL)
+    edges, _ = typegraph.decode(texts)
     return edges
 
 

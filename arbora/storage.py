@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset and everything runs in one process.  Raises on a cluster without it."""
@@ -38,14 +40,24 @@ def forget(spark: SparkSession, path: str, now: bool = False) -> None:
         system.deleteOnExit(at)
 
 
-def durable(df: DataFrame, label: str, *folders: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder (a folder for each value of the columns ``folders``, which are strings) and read back: its lineage ends there, on disks that no executor owns.
+def durable(df: DataFrame, label: str, *folders: str, sweep: bool = False, **options: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder (a folder for each value of the columns ``folders``, which are strings; ``options``: the writer's) and read back: its lineage ends there, on disks that no executor owns.
 
-    The table goes when the application ends, or when it is handed to ``release``.
+    The table goes when the application ends, or when it is handed to ``release``.  ``sweep``: shuffle files go as soon as it is written, not when the
+    driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
+    writer = df.write.options(**options)
+    writer = writer.partitionBy(*folders) if folders else writer
+    before = spark.conf.get(SWEEP, None)
+    if sweep:
+        spark.conf.set(SWEEP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if sweep:
+            spark.conf.set(SWEEP, before) if before is not None else spark.conf.unset(SWEEP)
     forget(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._arbora_path = path

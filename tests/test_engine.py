@@ -81,6 +81,24 @@ def test_typegraph_files(spark, tmp_path):
     assert [r["target_id"] for r in typegraph.read_targets(spark, str(tmp_path), skip=2, limit=1)[1].collect()] == ["p3"]
 
 
+def test_typegraphs_in_pieces(spark, tmp_path):
+    """A project is many rows; only what may repeat is brought together; an error in one piece is one of the whole file."""
+    rows = [(t, f"n{i}", label, 'say "x"\\\n' if i % 7 == 0 else f"m{i}") for t in range(2) for i in range(300) for label in ("contains", 'annotation.location=a"=b')]
+    g = spark.createDataFrame(rows, "target_id int, src string, label string, dst string")
+    texts = typegraph.encode(g.repartition(5), size=40)
+    assert texts.count() >= 30 and max(len(json.loads(r["value"])) for r in texts.collect()) <= 40
+    edges, errors = typegraph.decode(texts)
+    assert Counter(map(tuple, edges.collect())) == Counter(rows) and errors.isEmpty()
+    twice, _ = typegraph.decode(texts.select("target_id", "value").unionByName(texts.filter("target_id = 1").select("target_id", "value")))
+    assert Counter(map(tuple, twice.collect())) == Counter(rows)
+    more = spark.createDataFrame([(1, '[["a","knows","b"]]'), (0, "[]"), (2, "[]")], "target_id int, value string")
+    kept, bad = typegraph.decode(texts.select("target_id", "value").unionByName(more))
+    assert {r["target_id"] for r in kept.collect()} == {0} and {tuple(r) for r in bad.collect()} == {(1, "an invalid edge"), (2, "an empty graph")}
+    typegraph.write_files(texts, str(tmp_path))
+    read, _ = typegraph.read_targets(spark, str(tmp_path))
+    assert Counter((int(r["target_id"]), *tuple(r)[1:]) for r in read.collect()) == Counter(rows)
+
+
 def test_criteria_folder(tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"criterion": "c", "patterns": []}))
     (tmp_path / "b.json").write_text("{}")

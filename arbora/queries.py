@@ -347,7 +347,11 @@ def codec_signatures(spark: SparkSession, d: str) -> DataFrame:
 @query(ORACLES["mg_encode"])
 def codec_multigraph(spark: SparkSession, d: str) -> DataFrame:
     g = commerce.edges(spark, d)
-    return codecs.decode_graphs(codecs.encode_graphs(graph.encode(g, graph.dictionary(g)), graph.node_count(g)))
+    names = durable(graph.dictionary(g), "names", sweep=True)
+    coded = durable(graph.encode(g, names), "coded", sweep=True, compression="zstd")
+    counts = names.groupBy("target_id").agg(F.count("*").alias("node_count"))
+    texts = durable(codecs.encode_graphs(coded, counts), "multigraphs", sweep=True, **pieces.SMALL)
+    return codecs.decode_graphs(texts)
 
 
 # ---------------------------------------------------------------- pattern search

@@ -99,6 +99,17 @@ def test_typegraphs_in_pieces(spark, tmp_path):
     assert Counter((int(r["target_id"]), *tuple(r)[1:]) for r in read.collect()) == Counter(rows)
 
 
+def test_multigraphs_in_pieces(spark):
+    rows = [(t, i % 50, label, i) for t in range(2) for i in range(300) for label in ("a", 'say "x"')]
+    coded = spark.createDataFrame(rows, "target_id int, src bigint, label string, dst bigint")
+    counts = spark.createDataFrame([(0, 300), (1, 300), (2, 7)], "target_id int, node_count bigint")
+    texts = codecs.encode_graphs(coded.repartition(5), counts, size=40)
+    found = [(r["target_id"], json.loads(r["value"])) for r in texts.collect()]
+    assert len(found) >= 31 and max(len(x["edges"]) for _, x in found) <= 40 and {(t, x["nodeCount"]) for t, x in found} == {(0, 300), (1, 300), (2, 7)}
+    assert Counter(map(tuple, codecs.decode_graphs(texts).collect())) == Counter(rows)
+    assert Counter(map(tuple, codecs.decode_graphs(texts.union(texts)).collect())) == Counter(rows)
+
+
 def test_criteria_folder(tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"criterion": "c", "patterns": []}))
     (tmp_path / "b.json").write_text("{}")

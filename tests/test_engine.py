@@ -278,6 +278,23 @@ def test_nearest_types_and_cycles(spark):
     assert {r["src"] for r in extract.depends_on(f).collect()} == {"java+method:m", "java+class:B", "java+class:A", "java+package:p"}
 
 
+def test_types_of_units_do_not_shuffle_pairs(spark):
+    """Types of one unit, of two units, and units without dependencies; pairs of a unit's types are made after the last exchange."""
+    rel = lambda *rows: spark.createDataFrame([(0, *r) for r in rows], "target_id int, `from` string, `to` string")
+    none = extract.empty_relation(spark, "int")
+    u, v, w = (f"java+compilationUnit:{x}" for x in "uvw")
+    a, b, c, d = (f"java+class:{x}" for x in "ABCD")
+    inside = rel((u, a), (u, b), (v, b), (v, c), (w, d))
+    uses = rel((a, "x"), (a, "y"), (a, "x"), (c, "x"), (c, "z"), (b, "x"), (b, "e"), ("outside", "x"))
+    f = extract.Facts(spark.createDataFrame([(0, a)], "target_id int, name string"), inside, rel((b, "e")), none, uses, none, none, none, none, none)
+    found = extract.depends_on(f, units=True)
+    # What is contained in u is x, y; in v x, z.
+    want = {(u, "x"), (u, "y"), (a, "x"), (a, "y"), (b, "x"), (b, "y"), (b, "z"), (v, "x"), (v, "z"), (c, "x"), (c, "z")}
+    assert Counter((r["src"], r["dst"]) for r in found.collect()) == Counter(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and sum("Aggregate" in x.split("[")[0] for x in plan.splitlines() if len(x) - len(x.lstrip(" :+-")) <= 6) == 1  # the types of several units alone
+
+
 def test_debounce_boundary(spark):
     rows = spark.createDataFrame([(1, "k", 0), (2, "k", 3600), (3, "k", 7201)], "event_id int, user string, s int").withColumn("ts", F.timestamp_seconds("s"))
     assert [r["event_id"] for r in watch.debounce(rows, "user", "ts", 3600, "event_id").orderBy("event_id").collect()] == [2, 3]

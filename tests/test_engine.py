@@ -295,6 +295,19 @@ def test_types_of_units_do_not_shuffle_pairs(spark):
     assert plan.startswith("Union") and sum("Aggregate" in x.split("[")[0] for x in plan.splitlines() if len(x) - len(x.lstrip(" :+-")) <= 6) == 1  # the types of several units alone
 
 
+def test_typegraph_brings_edges_together_by_kind(spark):
+    """The whole graph meets in no exchange, and what an annotator repeats or structure has is there once."""
+    rel = lambda *rows: spark.createDataFrame([(0, *r) for r in rows], "target_id int, `from` string, `to` string")
+    none = extract.empty_relation(spark, "int")
+    a, m = "java+class:A", "java+method:m"
+    f = extract.Facts(spark.createDataFrame([(0, a), (0, m)], "target_id int, name string"), rel((a, m)), none, none, rel((m, a), (m, a)), rel((m, m)), none, none, none, none)
+    mark = lambda facts, nodes: nodes.select("target_id", "node", F.explode(F.array(F.lit("invokes"), F.lit("annotation.x=y"), F.lit("annotation.x=y"))).alias("label"))
+    found = extract.typegraph(f, mark)
+    want = {(a, "contains", m), (m, "dependsOn", a), (a, "dependsOn", a), (m, "invokes", m), (a, "invokes", m), (a, "invokes", a), (a, "annotation.x=y", a), (m, "annotation.x=y", m)}
+    assert Counter(tuple(r)[1:] for r in found.collect()) == Counter(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
 def test_debounce_boundary(spark):
     rows = spark.createDataFrame([(1, "k", 0), (2, "k", 3600), (3, "k", 7201)], "event_id int, user string, s int").withColumn("ts", F.timestamp_seconds("s"))
     assert [r["event_id"] for r in watch.debounce(rows, "user", "ts", 3600, "event_id").orderBy("event_id").collect()] == [2, 3]

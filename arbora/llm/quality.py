@@ -9,6 +9,8 @@ A null text counts as empty: it has no words, so it fails the base rules.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,54 +30,60 @@ BOILERPLATE = (
 ENDED = r"[.!?…:;\"'”’»)\]]$"
 
 
+#: The two patterns as Java reads them.  SQL's ``$`` is the end of the line alone (Java's also stands before a last ``\r``), its ``(?i)`` knows of ſ and K.
+_ENDED = ENDED.removesuffix("$") + r"\z"
+#: ``BOILERPLATE``'s alternatives, each parted at its first space: what stands before and after is looked at only there.
+_PARTED = [re.split(" (?![?])", a, maxsplit=1) for a in re.split(r"\|(?![^(]*\))", BOILERPLATE.removeprefix("(?i)"))]
+_BOILERPLATE = "(?i) (?:" + "|".join(f"(?={after})(?<={before} )" for before, after in _PARTED).replace("$", r"\z").replace("s", "[sſ]").replace("k", "[kK]") + ")"
+#: More upper than lower case letters can only be where two of them have at most one lower case letter between them.
+_DENSE = r"\p{Lu}[^\p{Lu}\p{Ll}]*+(?:\p{Ll}[^\p{Lu}\p{Ll}]*+)?+\p{Lu}"
+
+
 def words(text: Column) -> Column:
     """The words of a text: runs without U+0020 and U+0009 to U+000D."""
     return F.array_remove(F.split(F.translate(text, SPACES[1:], " " * (len(SPACES) - 1)), " "), "")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _count(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def repeated_words(of: Column) -> Column:
-    """How many of the words ``of`` lie in a 3-word window found twice or more; windows are compared by 64-bit hash."""
+def repeated_words(windows: Column) -> Column:
+    """How many words lie in a 3-word window found twice or more; ``windows`` are 64-bit hashes in order."""
 
-    def covered(w: Column) -> Column:
-        hashed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("p")))
+    def twice(s: Column) -> Column:
+        same = F.filter(s, lambda e, i: (F.get(s, i - 1)["h"] == e["h"]) | (F.get(s, i + 1)["h"] == e["h"]))
+        return F.sort_array(F.transform(same, lambda e: e["p"]))
 
-        def twice(s: Column) -> Column:
-            same = F.filter(s, lambda e, i: (F.get(s, i - 1)["h"] == e["h"]) | (F.get(s, i + 1)["h"] == e["h"]))
-            return F.sort_array(F.transform(same, lambda e: e["p"]))
+    def spread(p: Column) -> Column:
+        # A window covers three words, or as many as lie before the next such window.
+        own = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))).cast("bigint"))
+        return F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
-        def spread(p: Column) -> Column:
-            # A window covers three words, or as many as lie before the next such window.
-            own = F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3))).cast("bigint"))
-            return F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-        return F.when(F.size(w) < 3, F.lit(0).cast("bigint")).otherwise(let(let(F.sort_array(hashed), twice), spread))
-
-    return let(of, covered)
+    placed = F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
+    # Most texts repeat no window; those need no sorting.
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("bigint")).otherwise(let(let(F.sort_array(placed), twice), spread))
 
 
 def _facts(line: Column) -> Column:
     """What the rules need to know of a line."""
     return F.struct(
         line.alias("line"),
-        F.size(words(line)).alias("words"),
-        (F.length(line) - F.length(_without(line, SYMBOLS))).alias("symbols"),
-        (F.length(line) - F.length(_without(line, "|»›"))).alias("bars"),
-        F.length(F.regexp_replace(line, r"[^\p{Lu}]+", "")).alias("upper"),
-        F.length(F.regexp_replace(line, r"[^\p{Ll}]+", "")).alias("lower"),
+        words(line).alias("words"),
+        F.regexp_replace(line, "[^#*$%&|<>»›]+", "").alias("marks"),
     )
 
 
-def _fails(f: Column) -> Column:
-    """Whether a line with words breaks a rule."""
-    symbols = f["symbols"] * 3 >= f["words"]
-    navigation = f["bars"] * 4 >= f["words"]
-    shouting = (f["upper"] > f["lower"]) & (f["upper"] + f["lower"] > 10)
-    unended = (f["words"] < SHORT_LINE_WORDS) & ~F.rtrim(f["line"]).rlike(ENDED)
-    return (f["words"] > 0) & (symbols | navigation | shouting | unended | f["line"].rlike(BOILERPLATE))
+def _judge(f: Column) -> Column:
+    """A line's facts, with its symbols counted and whether it has words and breaks a rule."""
+    n = F.size(f["words"])
+    symbols = _count(f["marks"], SYMBOLS)
+    letters = lambda kind: F.length(F.regexp_replace(f["line"], rf"[^\p{{{kind}}}]+", ""))
+    shouting = f["line"].rlike(_DENSE) & let(F.struct(letters("Lu").alias("u"), letters("Ll").alias("l")), lambda x: (x["u"] > x["l"]) & (x["u"] + x["l"] > 10))
+    unended = (n < SHORT_LINE_WORDS) & ~F.rtrim(f["line"]).rlike(_ENDED)
+    navigation = _count(f["marks"], "|»›") * 4 >= n
+    fails = (n > 0) & ((symbols * 3 >= n) | navigation | unended | shouting | f["line"].rlike(_BOILERPLATE))
+    return F.struct(f["line"].alias("line"), f["words"].alias("words"), symbols.alias("symbols"), F.length(f["line"]).alias("size"), (n > 0).alias("worded"), fails.alias("fails"))
 
 
 def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
@@ -83,31 +91,32 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
 
     Columns of those names are replaced; all others stay as they are.
     """
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(whole, "\n", -1)
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
     rest = [F.col(f"`{c}`") for c in df.columns if c not in ("facts", "cleaned", "base_failed", "kept")]
-    worded = F.filter(lines, lambda x: _without(x, SPACES) != "")
-
-    def judged(of: Column) -> Column:
-        bad = F.filter(of, _fails)
-        size = lambda rows: F.aggregate(rows, F.lit(0).cast("bigint"), lambda a, f: a + F.length(f["line"]))
-        good = F.filter(of, lambda f: ~_fails(f))
-        return F.struct(
-            size(F.filter(of, lambda f: f["words"] > 0)).alias("line_chars"),
-            let(bad, lambda b: F.struct(F.size(b).cast("bigint").alias("n"), size(b).alias("chars"))).alias("lost"),
-            F.array_join(F.transform(good, lambda f: f["line"]), "\n").alias("text"),
-        )
-
-    split = words(whole)
-    counted = df.select(
+    rows = F.col("__lines")
+    total = lambda of, count: F.aggregate(of, F.lit(0).cast("bigint"), lambda a, f: a + count(f))
+    # A line break parts words, so a text's words are those of its lines.
+    judged = df.select(*rest, F.transform(F.transform(lines, _facts), _judge).alias("__lines"))
+    split = judged.select(
         *rest,
-        let(split, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words"))).alias("__w"),
-        F.length(_without(whole, SPACES)).cast("bigint").alias("__word_chars"),
-        (F.length(whole) - F.length(_without(whole, SYMBOLS))).cast("bigint").alias("__n_symbols"),
-        let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("__n_dup_lines"),
-        let(F.transform(lines, _facts), judged).alias("__l"),
+        F.flatten(F.transform(rows, lambda f: f["words"])).alias("__words"),
+        total(rows, lambda f: f["symbols"]).alias("__n_symbols"),
+        F.transform(F.filter(rows, lambda f: f["worded"]), lambda f: f["line"]).alias("__worded"),
+        let(F.filter(rows, lambda f: f["fails"]), lambda b: F.struct(F.size(b).cast("bigint").alias("n"), total(b, lambda f: f["size"]).alias("chars"))).alias("__lost"),
+        total(F.filter(rows, lambda f: f["worded"]), lambda f: f["size"]).alias("__line_chars"),
+        F.array_join(F.transform(F.filter(rows, lambda f: ~f["fails"]), lambda f: f["line"]), "\n").alias("__text"),
     )
-    n, repeats = F.col("__w.n_words"), F.col("__w.n_repeat_words")
+    # The last two hashes are of two words and one, so they equal none of a window.
+    hashed = F.transform("__words", lambda w, i: F.xxhash64(w, F.get("__words", i + 1), F.get("__words", i + 2)))
+    counted = split.select(
+        *rest,
+        F.size("__words").cast("bigint").alias("__n_words"),
+        hashed.alias("__windows"),
+        F.length(F.array_join("__words", "")).cast("bigint").alias("__word_chars"),
+        (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("bigint").alias("__n_dup_lines"),
+        *[F.col(c) for c in ("__n_symbols", "__lost", "__line_chars", "__text")],
+    ).withColumn("__repeats", repeated_words(F.col("__windows")))
+    n, repeats = F.col("__n_words"), F.col("__repeats")
     failed = (n < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n)
     facts = F.struct(
         n.alias("n_words"),
@@ -115,12 +124,12 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
         F.col("__n_symbols").alias("n_symbols"),
         F.col("__n_dup_lines").alias("n_dup_lines"),
         repeats.alias("n_repeat_words"),
-        F.col("__l.lost.n").alias("n_lost_lines"),
-        F.col("__l.lost.chars").alias("lost_chars"),
-        F.col("__l.line_chars").alias("line_chars"),
+        F.col("__lost.n").alias("n_lost_lines"),
+        F.col("__lost.chars").alias("lost_chars"),
+        F.col("__line_chars").alias("line_chars"),
     )
-    kept = ~failed & (100 * F.col("__l.lost.chars") <= MAX_LOST_PERCENT * F.col("__l.line_chars"))
-    return counted.select(*rest, facts.alias("facts"), F.col("__l.text").alias("cleaned"), failed.alias("base_failed"), kept.alias("kept"))
+    kept = ~failed & (100 * F.col("__lost.chars") <= MAX_LOST_PERCENT * F.col("__line_chars"))
+    return counted.select(*rest, facts.alias("facts"), F.col("__text").alias("cleaned"), failed.alias("base_failed"), kept.alias("kept"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

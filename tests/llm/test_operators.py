@@ -90,6 +90,31 @@ def test_op3_counts(spark, odd, rows):
     assert not got[39]["kept"] and not got[42]["kept"] and got[0]["kept"]
 
 
+def test_op3_rules_equal_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(3)
+    phrases = ["Licensed Under", "ALL RIGHTS RESERVED", "copyright (C)", "terms of service", "cookie policy", "houſes cookies", "cooKie policy", "sıgn in to", "sign up for", "log in to", "login to", "log  in to", "skip to main content", "read more", "read more\r"]
+    bits = [*phrases, "word", "Haus", "ABC", "aB", "ÀÉ", "éà", "X1y", "»", "|", "#", "*$%", "end.", "end.\r", "end!\u0085", "end? ", "fin…", " ", "\t", "\x0b", "\n", "\n", "", "🙂", "𝐀𝐁", "one two three four five six seven eight nine ten"]
+    texts = [None, "", "\n", *phrases, *(f"x {p} y and ten words or more of them are in this line" for p in phrases)]
+    texts += ["".join(rng.choice("aBcDEF 1") for _ in range(rng.randint(9, 18))) + "." for _ in range(150)]
+    texts += [rng.choice(["\n", " ", ""]).join(rng.choice(bits) for _ in range(rng.choice([1, 2, 3, 8, 40, 90]))) for _ in range(300)]
+    texts += [" ".join(rng.choice("abcdef") for _ in range(n)) for n in range(0, 80, 2)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(path)
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+        want = c.execute(registry.oracle_sql()["op3_quality"])
+        names = [d[0] for d in want.description]
+        rows = [dict(zip(names, r, strict=True)) for r in want.fetchall()]
+    assert len(rows) == len(texts) and found(spark, "op3_quality", str(tmp_path)) == {r["doc_id"]: r for r in rows}
+
+
+def test_op3_holds_a_line_against_boilerplate_once(spark, odd):
+    plan = QUERIES["op3_quality"](spark, odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("icen[c") == 1
+
+
 def test_op4_sharding(spark, odd, rows):
     got = found(spark, "op4_sharding", odd)
     assert sorted(r["position"] for r in got.values()) == list(range(len(rows)))
